@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["fixture_sql", "breadth"]
+MODULES = ["fixture_sql", "breadth", "indicators"]
 
 
 def load_all() -> None:
