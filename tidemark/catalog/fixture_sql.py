@@ -5,12 +5,12 @@ from tidemark.catalog.core import cte
 cte("bars_w", """
 SELECT 'N' || lpad(CAST(s_nationkey AS VARCHAR), 2, '0') AS symbol,
        CAST(date_trunc('week', l_shipdate) AS DATE) AS date,
-       round(arg_min(l_extendedprice / l_quantity, row(l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey)), 6) AS open,
-       round(max(l_extendedprice / l_quantity), 6) AS high,
-       round(min(l_extendedprice / l_quantity), 6) AS low,
-       round(arg_max(l_extendedprice / l_quantity, row(l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey)), 6) AS close,
+       round(arg_min(l_extendedprice / l_quantity + 1e-9, row(l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey)), 6) AS open,
+       round(max(l_extendedprice / l_quantity + 1e-9), 6) AS high,
+       round(min(l_extendedprice / l_quantity + 1e-9), 6) AS low,
+       round(arg_max(l_extendedprice / l_quantity + 1e-9, row(l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey)), 6) AS close,
        CAST(sum(l_quantity) * 100 AS BIGINT) AS volume,
-       round(arg_max(l_extendedprice / l_quantity, row(l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey)), 6) AS adj_close
+       round(arg_max(l_extendedprice / l_quantity + 1e-9, row(l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey)), 6) AS adj_close
 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2
 """)
 cte("bars_d", """
@@ -38,7 +38,7 @@ SELECT symbol, date, revenue, net_income, net_income AS earnings, revenue * 2 AS
 FROM (
   SELECT o.symbol, o.date, round(sum(o_totalprice), 2) AS revenue,
          round(sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE 0 END)
-               - 0.5 * sum(CASE WHEN o_orderstatus = 'P' THEN o_totalprice ELSE 0 END), 2) AS net_income,
+               - 0.5 * sum(CASE WHEN o_orderstatus = 'P' THEN o_totalprice ELSE 0 END), 3) AS net_income,
          any_value(e.equity) AS equity,
          round(sum(CASE WHEN o_orderstatus = 'O' THEN o_totalprice ELSE 0 END), 2) AS inventory,
          round(sum(CASE WHEN o_orderstatus = 'P' THEN o_totalprice ELSE 0 END), 2) AS accounts_receivable
@@ -76,10 +76,10 @@ FROM events GROUP BY 1, 2
 cte("trades", """
 SELECT l_suppkey AS symbol, CAST(l_shipdate AS DATE) AS date, l_orderkey AS order_id, l_linenumber AS line, l_partkey AS part_id,
        CASE l_returnflag WHEN 'A' THEN 'buy' WHEN 'R' THEN 'sell' ELSE 'hold' END AS signal_type,
-       l_quantity AS quantity, p AS price, round(greatest(l_quantity * p * 0.001::DOUBLE, 1.0), 6) AS commission,
-       round(l_quantity * p * 0.0005::DOUBLE, 6) AS slippage,
+       l_quantity AS quantity, p AS price, round(greatest(l_quantity * p * 0.001::DOUBLE, 1.0) + 1e-10, 6) AS commission,
+       round(l_quantity * p * 0.0005::DOUBLE + 2e-11, 6) AS slippage,
        round((l_discount - 0.05::DOUBLE) * l_extendedprice, 6) AS realized_pnl
-FROM (SELECT *, round(l_extendedprice / l_quantity, 6) AS p,
+FROM (SELECT *, round(l_extendedprice / l_quantity + 1e-9, 6) AS p,
              row_number() OVER (PARTITION BY l_suppkey, date_trunc('month', l_shipdate)
                                 ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS n FROM lineitem)
 WHERE n <= 5

