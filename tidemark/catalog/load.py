@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["fixture_sql", "breadth", "indicators", "scalars", "signals"]
+MODULES = ["fixture_sql", "breadth", "indicators", "scalars", "signals", "evaluation"]
 
 
 def load_all() -> None:
