@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.plans.series import BARS, Series
@@ -46,9 +46,18 @@ def pct_change(x: Column, k: int = 1, s: Series = BARS) -> Column:
     return div(x - p, p)
 
 
-def skew_unbiased(x: Column, n: Column) -> Callable:
-    """Bias-corrected skewness as an aggregate expression builder."""
-    return F.when(n >= 3, F.skewness(x) * F.sqrt(n * (n - 1)) / (n - 2))
+def corr(x, y, w: WindowSpec | None = None) -> Column:
+    """Correlation, NULL (where the built-in raises) for a constant side.
+
+    Rows with either side NULL are ignored, as the built-in does.
+    """
+    x = (F.col(x) if isinstance(x, str) else x).cast("double")
+    y = (F.col(y) if isinstance(y, str) else y).cast("double")
+    a, b = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    parts = [F.covar_pop(x, y), F.stddev_pop(a), F.stddev_pop(b)]
+    if w is not None:
+        parts = [p.over(w) for p in parts]
+    return div(parts[0], parts[1] * parts[2])
 
 
 def frame_skew(x: Column, n: int, s: Series = BARS) -> Column:

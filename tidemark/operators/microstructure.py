@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.frames import (
-    div, flag, frame_quantile, frame_rank, full, longest_run, mean, pct_change, prev, snap, std,
+    corr, div, flag, frame_quantile, frame_rank, full, longest_run, mean, pct_change, prev, snap, std,
 )
 from tidemark.operators.indicators import typical
 from tidemark.plans.ewm import ewm
@@ -19,10 +19,6 @@ from tidemark.plans.series import BARS, Series, running_sums
 c = F.col
 
 
-def _finite(x: Column) -> Column:
-    return F.when(~F.isnan(x), x)
-
-
 def _zscore(x: Column, m: Column, sd: Column) -> Column:
     return div(x - m, sd)
 
@@ -77,7 +73,7 @@ def ms_price_volume(bars: DataFrame, s: Series = BARS, frequency: str | None = "
         "volume_weighted_return": div(full(F.sum, c("_rv"), 20, s), c("_sum_v")),
         "price_volume_divergence": F.when(full_ten, slope(close) != slope(v)),
         **{
-            f"volume_price_corr_{n}": _finite(full(lambda x: F.corr(x, v), close, n, s))
+            f"volume_price_corr_{n}": F.when(F.count(close).over(s.back(n)) == n, corr(close, v, s.back(n)))
             for n in (5, 10, 20)
         },
     })
@@ -192,7 +188,7 @@ def microstructure_summary(bars: DataFrame, s: Series = BARS, frequency: str | N
         F.stddev_samp(v).alias("volume_std"),
         skew.alias("volume_skewness"),
         kurt.alias("volume_kurtosis"),
-        F.corr("close", "volume").alias("price_volume_correlation"),
+        corr("close", "volume").alias("price_volume_correlation"),
         F.avg("price_vs_vwap").alias("vwap_deviation_mean"),
         F.stddev_samp("price_vs_vwap").alias("vwap_deviation_std"),
         F.avg("spread_proxy").alias("spread_proxy_mean"),

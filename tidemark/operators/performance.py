@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.frames import div, pct_change, snap
+from tidemark.functions.frames import corr, div, pct_change, snap
 from tidemark.operators.costing import TRADES_SERIES, diversification_factor
 from tidemark.params import ES_FACTORS, STRESS, TRADING, Z_SCORES, Trading
 from tidemark.plans.islands import islands
@@ -107,7 +107,7 @@ def beta_corr(returns: DataFrame, benchmark: DataFrame) -> DataFrame:
     both = returns.join(benchmark, "date").filter("return IS NOT NULL AND market_return IS NOT NULL")
     return both.agg(
         F.regr_slope("return", "market_return").alias("beta"),
-        F.corr("return", "market_return").alias("market_correlation"), F.count(F.lit(1)).alias("observations"),
+        corr("return", "market_return").alias("market_correlation"), F.count(F.lit(1)).alias("observations"),
     )
 
 

@@ -26,6 +26,44 @@ def unpivot(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> Da
     ).select(*by, "_cv.column", "_cv.value")
 
 
+def sliced(counts: DataFrame, by: Sequence[str], value: str, slices: int = SLICES) -> DataFrame:
+    """Add ``_slice``: ordered value ranges of a group, from a mergeable sketch.
+
+    Slices hold about equally many distinct values, so none grows with how
+    often a value occurs or how large its group is.
+    """
+    steps = F.array(*[F.lit(i / slices) for i in range(1, slices)])
+    cuts = counts.groupBy(*by).agg(
+        F.percentile_approx(value, steps, F.lit(slices * 40)).alias("_cuts")
+    )
+    joined = counts.join(cuts, list(by)) if by else counts.withColumn("_cuts", cuts.scalar())
+    return joined.withColumn(
+        "_slice", F.size(F.filter("_cuts", lambda cut: cut < F.col(value)))
+    ).drop("_cuts")
+
+
+def cumulative(
+    counts: DataFrame, by: Sequence[str], value: str, measures: Sequence[str], slices: int = SLICES
+) -> DataFrame:
+    """Running totals of ``measures`` in value order, as ``{m}_upto``.
+
+    ``counts`` has one row per (group, value).  Totals per slice are summed
+    across slices, values only within one: no task orders a whole group.
+    """
+    by = list(by)
+    rows = sliced(counts, by, value, slices)
+    across = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(*by, "_slice").agg(*[F.sum(m).alias(f"_t_{m}") for m in measures]).select(
+        *by, "_slice", *[F.coalesce(F.sum(f"_t_{m}").over(across), F.lit(0)).alias(f"_b_{m}") for m in measures]
+    )
+    inside = (
+        Window.partitionBy(*by, "_slice").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    )
+    return rows.join(starts, [*by, "_slice"]).withColumns({
+        f"{m}_upto": F.sum(m).over(inside) + F.col(f"_b_{m}") for m in measures
+    }).drop("_slice", *[f"_b_{m}" for m in measures])
+
+
 def exact_quantiles(
     df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str], slices: int = SLICES
 ) -> DataFrame:
@@ -36,21 +74,15 @@ def exact_quantiles(
         .groupBy(*by, F.col(value).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_c"))
     )
-    steps = F.array(*[F.lit(i / slices) for i in range(1, slices)])
-    cuts = counts.groupBy(*by).agg(
-        F.percentile_approx("_v", steps, F.lit(slices * 40)).alias("_cuts"),
-        F.sum("_c").alias("_n"),
-    )
-    sliced = counts.join(cuts, by).withColumn(
-        "_slice", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
-    )
-    totals = sliced.groupBy(*by, "_slice").agg(
-        F.sum("_c").alias("_t"), F.first("_n").alias("_n")
-    )
+    rows = sliced(counts, by, "_v", slices)
+    totals = rows.groupBy(*by, "_slice").agg(F.sum("_c").alias("_t"))
     across = Window.partitionBy(*by).orderBy("_slice")
     wanted = (
-        totals.withColumn("_before", F.sum("_t").over(across) - F.col("_t"))
-        .withColumn("_p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
+        totals.withColumns({
+            "_before": F.sum("_t").over(across) - F.col("_t"),
+            "_n": F.sum("_t").over(Window.partitionBy(*by)),
+        })
+        .withColumn("_p", F.explode(F.array(*[F.lit(float(p)) for p in sorted(probs)])))
         .withColumn("_h", F.col("_p") * (F.col("_n") - 1))
         .withColumn("_r", F.explode(F.array(F.floor("_h"), F.ceil("_h"))))
         .filter((F.col("_r") >= F.col("_before")) & (F.col("_r") < F.col("_before") + F.col("_t")))
@@ -59,7 +91,7 @@ def exact_quantiles(
     )
     inside = Window.partitionBy(*by, "_slice").orderBy("_v")
     hits = (
-        sliced.drop("_n").join(wanted, [*by, "_slice"])
+        rows.join(wanted, [*by, "_slice"])
         .withColumn("_end", F.col("_before") + F.sum("_c").over(inside))
         .withColumn("_ask", F.explode("_ask"))
         .filter(
