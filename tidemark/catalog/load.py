@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["fixture_sql", "breadth", "indicators", "scalars", "signals", "evaluation", "prep", "runlog"]
+MODULES = ["fixture_sql", "breadth", "indicators", "scalars", "signals", "evaluation", "prep", "runlog", "storage"]
 
 
 def load_all() -> None:

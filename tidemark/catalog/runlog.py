@@ -10,6 +10,7 @@ from tidemark.catalog.scalars import signals_json
 from tidemark.operators import models as m
 from tidemark.operators import parse, prep
 from tidemark.operators import runlog as r
+from tidemark.sources.storage import stage
 
 c = F.col
 NOW = "2024-01-30 12:00:00"
@@ -151,6 +152,11 @@ FEATURES = ["sma", "volatility", "volume", "open", "close"]
 
 
 def labelled(t):
+    """The training set, written once: estimators read it many times over."""
+    return stage(_labelled(t), "train")
+
+
+def _labelled(t):
     return train(t).filter("target IS NOT NULL").withColumn("target", c("target").cast("double")).withColumn("volume", c("volume").cast("double"))
 
 
@@ -201,7 +207,7 @@ def trained(t):
 
 
 def regress(t):
-    df = prep.target_label(t.bars_w, kind="regression").filter("target IS NOT NULL").withColumn("volume", c("volume").cast("double"))
+    df = stage(prep.target_label(t.bars_w, kind="regression").filter("target IS NOT NULL").withColumn("volume", c("volume").cast("double")), "train")
     a, b = m.split_time(df)
     return m.model_regress(a, b, ["open", "high", "low", "close", "volume"], "target")
 
@@ -223,7 +229,7 @@ register("model_regress", regress)
 register("model_importance", importance)
 register("model_score", score)
 register("model_tune", lambda t: m.model_tune(labelled(t), FEATURES, "target", [{"regParam": x, "elasticNetParam": y} for x in (0.01, 0.1) for y in (0.0, 0.5)], folds=3))
-register("pareto_front", lambda t: m.pareto_front(experiments(t).select("run_id", "accuracy", "f1"), "accuracy", "f1", "run_id"), """
+register("pareto_front", lambda t: m.pareto_front(experiments(t).select("run_id", "accuracy", "f1"), "accuracy", "f1"), """
 SELECT run_id, accuracy, f1 FROM experiments e WHERE NOT EXISTS (
   SELECT 1 FROM experiments o WHERE o.accuracy >= e.accuracy AND o.f1 >= e.f1 AND (o.accuracy > e.accuracy OR o.f1 > e.f1))
 """, "f1")

@@ -14,11 +14,11 @@ from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegressi
 from pyspark.ml.feature import Imputer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.frames import div, snap
-from tidemark.plans.quantile import cumulative, exact_quantiles
+from tidemark.plans.quantile import cumulative, exact_quantiles, sliced
 
 c = F.col
 
@@ -208,18 +208,22 @@ def model_tune(df: DataFrame, features: Sequence[str], label: str, grid: Sequenc
     ).orderBy(c("mean_accuracy").desc(), "setting")
 
 
-def pareto_front(trials: DataFrame, first: str, second: str, key: str) -> DataFrame:
+def pareto_front(trials: DataFrame, first: str, second: str) -> DataFrame:
     """Trials no other trial beats on both objectives (larger is better).
 
-    Trials are reduced to the best ``second`` per ``first`` value; a trial is
-    kept when it exceeds every better-``first`` trial: two grouped passes and
-    one running maximum, no pair join.
+    The best ``second`` per ``first`` value must exceed that of every better
+    ``first``: a running maximum, taken across slices of ``first`` and then
+    inside each, so neither pairs nor one global order are needed.
     """
-    best = trials.groupBy(first).agg(F.max(second).alias("_best"))
-    from pyspark.sql import Window
-
-    # one row per distinct objective value of a tuning run: bounded by its trials
-    ahead = Window.orderBy(c(first).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    edge = best.withColumn("_ahead", F.max("_best").over(ahead))
-    keep = edge.filter(c("_ahead").isNull() | (c("_best") > c("_ahead")))
-    return trials.join(keep, first).filter(c(second) == c("_best")).drop("_best", "_ahead")
+    best = trials.groupBy(first).agg(F.max(second).alias("_best")).filter(c(first).isNotNull())
+    rows = sliced(best, [], first)
+    higher = Window.orderBy(c("_slice").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    tops = rows.groupBy("_slice").agg(F.max("_best").alias("_top")).select(
+        "_slice", F.max("_top").over(higher).alias("_above")
+    )
+    inside = Window.partitionBy("_slice").orderBy(c(first).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = F.greatest(F.max("_best").over(inside), c("_above"))
+    keep = rows.join(tops, "_slice").withColumn("_ahead", ahead).filter(
+        c("_ahead").isNull() | (c("_best") > c("_ahead"))
+    ).select(first, "_best")
+    return trials.join(keep, first).filter(c(second) == c("_best")).drop("_best")
