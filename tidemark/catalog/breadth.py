@@ -7,8 +7,7 @@ from dataclasses import replace
 from tidemark.catalog.core import cte, register
 from tidemark.operators import breadth as b
 from tidemark.params import BREADTH
-from tidemark.plans.ewm import memory_rows
-from tidemark.plans.series import TICKS, in_blocks, per_series
+from tidemark.plans.series import per_series
 
 #: The share of advancers peaks below the default threshold on these tables.
 THRUST = replace(BREADTH, zbt_threshold=0.54)

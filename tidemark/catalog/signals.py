@@ -6,7 +6,6 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from tidemark.catalog.breadth import weekly
 from tidemark.catalog.core import cte, register
 from tidemark.catalog.indicators import TECH, mean, pct
 from tidemark.catalog.scalars import mm, reports, signals_json
@@ -15,6 +14,7 @@ from tidemark.functions.frames import pct_change
 from tidemark.operators import joins, parse, rules
 from tidemark.operators import signals as g
 from tidemark.params import SIGNALS
+from tidemark.plans.series import per_series
 
 c = F.col
 
@@ -46,11 +46,8 @@ SELECT *, CASE WHEN signal_strength > 0.3 THEN 'buy' WHEN signal_strength < -0.3
    / (2 + CASE WHEN rsi IS NULL THEN 0 ELSE 1 END)::DOUBLE AS confidence
   FROM tech_flagged)
 """)
-LB = 720
-
-
 def tech(t, p=SIGNALS):
-    return weekly(t, lambda d, s: g.technical_signals(d, s, p), LB)
+    return g.technical_signals(t.bars_w, p=p, frequency="1week")
 
 
 register("tech_flags", lambda t: tech(t).select("symbol", "date", *FLAGS), f"SELECT symbol, date, {', '.join(FLAGS)} FROM tech_flagged")
@@ -63,14 +60,14 @@ register("signal_strength_count", lambda t: g.signal_strength_count(
     tech(t).drop("signal_strength"), ["rsi_buy", "macd_crossover", "volume_spike"], ["rsi_sell", "bb_sell"]).select("symbol", "date", "signal_strength"),
     "SELECT symbol, date, CAST(rsi_buy + macd_crossover + volume_spike - rsi_sell - bb_sell AS DOUBLE) AS signal_strength FROM tech_flagged")
 LOOSE = replace(SIGNALS, confidence_threshold=0.4)
-register("technical_pipeline", lambda t: weekly(t, lambda d, s: g.technical_pipeline(d, s, LOOSE), LB).select(*g.RESULT, "rsi", "macd"), f"""
+register("technical_pipeline", lambda t: g.technical_pipeline(t.bars_w, p=LOOSE, frequency="1week").select(*g.RESULT, "rsi", "macd"), f"""
 SELECT symbol, date, signal_type, signal_strength, confidence, rsi, macd FROM tech_sig
 WHERE abs(signal_strength) >= 0.5 AND {r9('confidence')} >= 0.4
 """, "signal_strength confidence rsi macd")
 register("signal_threshold_filter", lambda t: g.signal_threshold_filter(tech(t)).select(*g.RESULT),
          f"SELECT symbol, date, signal_type, signal_strength, confidence FROM tech_sig WHERE abs(signal_strength) >= 0.5 AND {r9('confidence')} >= 0.7",
          "signal_strength confidence")
-register("signal_smoothing", lambda t: weekly(t, lambda d, s: g.signal_smoothing(g.technical_signals(d, s), s), LB, ).select("symbol", "date", "signal_strength"), """
+register("signal_smoothing", lambda t: per_series(tech(t), g.signal_smoothing, 1, 1, frequency="1week").select("symbol", "date", "signal_strength"), """
 SELECT symbol, date, CASE WHEN count(signal_strength) OVER w = 3 THEN avg(signal_strength) OVER w END AS signal_strength FROM tech_sig
 WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)
 """, "signal_strength")

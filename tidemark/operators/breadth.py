@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.frames import div, pct_change, prev, snap
 from tidemark.params import BREADTH, Breadth
 from tidemark.plans.ewm import ewm
-from tidemark.plans.series import BARS, DAILY, Series
+from tidemark.plans.series import BARS, DAILY, Series, per_series
 
 c = F.col
 
@@ -62,6 +62,10 @@ def issue_status(bars: DataFrame, s: Series = BARS, p: Breadth = BREADTH) -> Dat
     )
 
 
+def _statuses(bars: DataFrame, s: Series, p: Breadth, frequency: str | None) -> DataFrame:
+    return per_series(bars, lambda df, x: issue_status(df, x, p), 1, s=s, frequency=frequency)
+
+
 def _issues(status: str) -> Column:
     return F.count_if(c("issue_status") == status)
 
@@ -70,9 +74,11 @@ def _volume(status: str) -> Column:
     return F.sum(F.when(c("issue_status") == status, c("volume")).otherwise(0))
 
 
-def ad_daily(bars: DataFrame, s: Series = BARS, p: Breadth = BREADTH) -> DataFrame:
+def ad_daily(
+    bars: DataFrame, s: Series = BARS, p: Breadth = BREADTH, frequency: str | None = "1day"
+) -> DataFrame:
     """Counts and volumes by class and date, with their ratios."""
-    day = issue_status(bars, s, p).groupBy("date").agg(
+    day = _statuses(bars, s, p, frequency).groupBy("date").agg(
         _issues("advancing").alias("advancing_stocks"),
         _issues("declining").alias("declining_stocks"),
         _issues("unchanged").alias("unchanged_stocks"),
@@ -101,8 +107,10 @@ def ad_momentum(line: DataFrame, p: Breadth = BREADTH) -> DataFrame:
     return line.withColumn("ad_momentum", (c("ad_line") - prev(c("ad_line"), n, DAILY)) / n)
 
 
-def ad_features(bars: DataFrame, s: Series = BARS, p: Breadth = BREADTH) -> DataFrame:
-    return ad_momentum(ad_line(ad_daily(quality_filter_ad(bars, p), s, p)), p)
+def ad_features(
+    bars: DataFrame, s: Series = BARS, p: Breadth = BREADTH, frequency: str | None = "1day"
+) -> DataFrame:
+    return ad_momentum(ad_line(ad_daily(quality_filter_ad(bars, p), s, p, frequency)), p)
 
 
 def ad_summary(features: DataFrame) -> DataFrame:
@@ -176,8 +184,13 @@ def ma_momentum(crossed: DataFrame, s: Series = BARS) -> DataFrame:
     }).withColumn("ma_momentum", (c("ma_short_slope") + c("ma_long_slope")) / 2)
 
 
-def ma_features(bars: DataFrame, s: Series = BARS, p: Breadth = BREADTH) -> DataFrame:
-    return ma_momentum(ma_crossover(ma_pair(quality_filter_pos(bars), s, p), s), s)
+def ma_features(
+    bars: DataFrame, s: Series = BARS, p: Breadth = BREADTH, frequency: str | None = "1day"
+) -> DataFrame:
+    def chain(df: DataFrame, s: Series) -> DataFrame:
+        return ma_momentum(ma_crossover(ma_pair(df, s, p), s), s)
+
+    return per_series(quality_filter_pos(bars), chain, p.ma_long + 10, s=s, frequency=frequency)
 
 
 def ma_summary(features: DataFrame) -> DataFrame:
@@ -226,8 +239,10 @@ def ma_rolling(features: DataFrame, s: Series = BARS, p: Breadth = BREADTH) -> D
 
 
 # -- oscillator ---------------------------------------------------------------------
-def mcc_issues(bars: DataFrame, s: Series = BARS, p: Breadth = BREADTH) -> DataFrame:
-    return issue_status(bars, s, p).groupBy("date").agg(
+def mcc_issues(
+    bars: DataFrame, s: Series = BARS, p: Breadth = BREADTH, frequency: str | None = "1day"
+) -> DataFrame:
+    return _statuses(bars, s, p, frequency).groupBy("date").agg(
         _issues("advancing").alias("advancing_issues"),
         _issues("declining").alias("declining_issues"),
         _issues("unchanged").alias("unchanged_issues"),
@@ -274,8 +289,10 @@ def mcc_flags(ind: DataFrame, p: Breadth = BREADTH) -> DataFrame:
     })
 
 
-def mcclellan(bars: DataFrame, s: Series = BARS, p: Breadth = BREADTH, true_ema: bool = False) -> DataFrame:
-    issues = mcc_issues(quality_filter_pos(bars), s, p)
+def mcclellan(
+    bars: DataFrame, s: Series = BARS, p: Breadth = BREADTH, true_ema: bool = False, frequency: str | None = "1day"
+) -> DataFrame:
+    issues = mcc_issues(quality_filter_pos(bars), s, p, frequency)
     return mcc_flags(mcc_summation(mcc_oscillator(issues, p, true_ema)), p)
 
 
@@ -321,8 +338,10 @@ def mcc_rolling(res: DataFrame, p: Breadth = BREADTH) -> DataFrame:
 
 
 # -- thrust -----------------------------------------------------------------------
-def zbt_issues(bars: DataFrame, s: Series = BARS, p: Breadth = BREADTH) -> DataFrame:
-    day = mcc_issues(bars, s, p).drop("net_advances").withColumn(
+def zbt_issues(
+    bars: DataFrame, s: Series = BARS, p: Breadth = BREADTH, frequency: str | None = "1day"
+) -> DataFrame:
+    day = mcc_issues(bars, s, p, frequency).drop("net_advances").withColumn(
         "total_issues", c("advancing_issues") + c("declining_issues") + c("unchanged_issues")
     )
     return day.withColumn(
@@ -369,8 +388,10 @@ def zbt_metrics(sig: DataFrame, p: Breadth = BREADTH) -> DataFrame:
     )
 
 
-def zbt_features(bars: DataFrame, s: Series = BARS, p: Breadth = BREADTH) -> DataFrame:
-    return zbt_metrics(zbt_signal(zbt_pct(zbt_issues(quality_filter_pos(bars), s, p), p), p), p)
+def zbt_features(
+    bars: DataFrame, s: Series = BARS, p: Breadth = BREADTH, frequency: str | None = "1day"
+) -> DataFrame:
+    return zbt_metrics(zbt_signal(zbt_pct(zbt_issues(quality_filter_pos(bars), s, p, frequency), p), p), p)
 
 
 def zbt_summary(res: DataFrame) -> DataFrame:
@@ -426,9 +447,11 @@ def zbt_rolling(res: DataFrame, p: Breadth = BREADTH) -> DataFrame:
 
 
 # -- composite ----------------------------------------------------------------------
-def pct_above_ma(bars: DataFrame, s: Series = BARS, p: Breadth = BREADTH) -> DataFrame:
+def pct_above_ma(
+    bars: DataFrame, s: Series = BARS, p: Breadth = BREADTH, frequency: str | None = "1day"
+) -> DataFrame:
     """Share of symbols above their short and long average, by date."""
-    pairs = ma_pair(quality_filter_pos(bars), s, p)
+    pairs = per_series(quality_filter_pos(bars), lambda df, x: ma_pair(df, x, p), p.ma_long, s=s, frequency=frequency)
     above = {n: snap(c("close") - c(n)) > 0 for n in ("ma_short", "ma_long")}
     return pairs.groupBy("date").agg(
         F.avg(above["ma_short"].cast("int")).alias("pct_above_ma20"),
@@ -436,14 +459,18 @@ def pct_above_ma(bars: DataFrame, s: Series = BARS, p: Breadth = BREADTH) -> Dat
     )
 
 
-def breadth_score(bars: DataFrame, s: Series = BARS, p: Breadth = BREADTH) -> DataFrame:
+def breadth_score(
+    bars: DataFrame, s: Series = BARS, p: Breadth = BREADTH, frequency: str | None = "1day"
+) -> DataFrame:
     """Weighted 0-100 score of six breadth inputs (our own definition).
 
     All six inputs come out of one classified pass over the bars and one
     aggregation by date; the rest runs on the date table.
     """
     w = p.score_weights
-    marked = ma_pair(issue_status(quality_filter_pos(bars), s, p), s, p)
+    marked = per_series(
+        quality_filter_pos(bars), lambda df, x: ma_pair(issue_status(df, x, p), x, p), p.ma_long, s=s, frequency=frequency
+    )
     day = marked.groupBy("date").agg(
         _issues("advancing").alias("advancing_issues"),
         _issues("declining").alias("declining_issues"),

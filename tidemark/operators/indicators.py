@@ -16,7 +16,7 @@ from tidemark.functions.frames import (
     div, flag, frame_kurt, frame_quantile, frame_skew, full, mean, pct_change, prev, std, true_range,
 )
 from tidemark.params import SIGNALS, Signals
-from tidemark.plans.ewm import ewm, memory_rows
+from tidemark.plans.ewm import ewm_numbered, memory_rows, number_off
 from tidemark.plans.series import BARS, DAILY, Series, per_series, running_sums
 
 c = F.col
@@ -141,10 +141,13 @@ def volatility_block(bars: DataFrame, s: Series = BARS, n: int = 20) -> DataFram
 def macd(
     bars: DataFrame, s: Series = BARS, fast: int = 12, slow: int = 26, signal: int = 9
 ) -> DataFrame:
-    out = ewm(bars, {"_fast": ("close", fast), "_slow": ("close", slow)}, s)
-    out = out.withColumn("macd", c("_fast") - c("_slow")).drop("_fast", "_slow")
-    return ewm(out, {"macd_signal": ("macd", signal)}, s).withColumn(
-        "macd_histogram", c("macd") - c("macd_signal")
+    """Both steps run on one numbering, so on one sort."""
+    out = number_off(bars, [fast, slow, signal], s)
+    out = ewm_numbered(out, {"_fast": ("close", fast), "_slow": ("close", slow)}, s)
+    out = out.withColumn("macd", c("_fast") - c("_slow"))
+    out = ewm_numbered(out, {"macd_signal": ("macd", signal)}, s)
+    return out.withColumn("macd_histogram", c("macd") - c("macd_signal")).drop(
+        "_fast", "_slow", "_n", "_b", "_p", "_size"
     )
 
 

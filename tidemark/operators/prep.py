@@ -16,6 +16,7 @@ from tidemark.functions.frames import corr, div, pct_change, snap
 from tidemark.operators import indicators as ind
 from tidemark.plans.quantile import column_quantiles, unpivot
 from tidemark.plans.series import BARS, Series
+from tidemark.sources.storage import stage
 
 c = F.col
 
@@ -340,17 +341,21 @@ def engineer_features(
 
 
 def experiment_dataset(bars: DataFrame, config: dict, s: Series = BARS) -> DataFrame:
-    """Config-driven dataset: features, fill, fences, lags, frames, scale, label."""
+    """Config-driven dataset: features, fill, fences, lags, frames, scale, label.
+
+    The fences and the scaling each read their input twice (statistics, then
+    rows), so the table is written down before both.
+    """
     df, _ = engineer_features(bars, config["stages"], s)
     df = target_label(df, s, **config.get("target", {}))
     features = list(config["features"])
     df = df.select(*s.keys, *s.order, *dict.fromkeys([*features, *config["lag_columns"], *config["rolling_columns"]]), "target")
     fill = config["missing"]
-    df = fill_missing(df, features, fill["method"], fill.get("limit"), s)
+    df = stage(fill_missing(df, features, fill["method"], fill.get("limit"), s), "filled")
     df = outlier_iqr(df, features, config["outlier_threshold"])
     for x in config["lag_columns"]:
         df = ind.lag_features(df, x, config["lags"], s)
     for x in config["rolling_columns"]:
         df = ind.rolling_features(df, x, config["windows"], config["functions"], s)
     numeric = [x for x in df.columns if x not in (*s.keys, *s.order, "target")]
-    return scale(df, numeric, config["scaling"])
+    return scale(stage(df, "framed"), numeric, config["scaling"])

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.frames import div, flag, mean, mean_of, minmax, prev, snap
-from tidemark.operators.indicators import sma, technical_all
+from tidemark.operators.indicators import LOOKBACK, sma, technical_all
 from tidemark.params import SIGNALS, Signals
-from tidemark.plans.series import BARS, Series
+from tidemark.plans.series import BARS, Series, per_series, with_stats
 
 c = F.col
 
@@ -51,25 +51,25 @@ def tech_flags(df: DataFrame, s: Series = BARS, p: Signals = SIGNALS) -> DataFra
 
 
 def tech_signal(
-    flags: DataFrame, s: Series = BARS, p: Signals = SIGNALS, point_in_time: bool = False
+    flags: DataFrame, s: Series = BARS, p: Signals = SIGNALS, point_in_time: bool = False,
+    frequency: str | None = "1day",
 ) -> DataFrame:
     """Net vote as strength, mean of three factors as confidence.
 
     Maxima are taken over the symbol's history; ``point_in_time`` restricts
     them to what was known at each bar.
     """
-    w = s.running if point_in_time else s.whole
-    buys, sells = _sum(BUY_VOTES), _sum(SELL_VOTES)
     hist = F.abs("macd_histogram")
-    factors = (
-        1 - F.abs(c("rsi") - 50) / 50,
-        div(hist, F.max(hist).over(w)),
-        div(c("volume"), F.max("volume").over(w)),
-    )
-    return flags.withColumns({
+    if point_in_time:
+        based = flags.withColumns({"_h": F.max(hist).over(s.running), "_v": F.max("volume").over(s.running)})
+    else:
+        based = with_stats(flags, {"_h": F.max(hist), "_v": F.max("volume")}, s, frequency)
+    buys, sells = _sum(BUY_VOTES), _sum(SELL_VOTES)
+    factors = (1 - F.abs(c("rsi") - 50) / 50, div(hist, c("_h")), div(c("volume"), c("_v")))
+    return based.withColumns({
         "signal_strength": F.coalesce(div(buys - sells, buys + sells), F.lit(0.0)),
         "confidence": mean_of(*factors),
-    }).withColumn("signal_type", signal_type(c("signal_strength"), p.type_cut))
+    }).withColumn("signal_type", signal_type(c("signal_strength"), p.type_cut)).drop("_h", "_v")
 
 
 def tech_votes(df: DataFrame, p: Signals = SIGNALS) -> DataFrame:
@@ -93,10 +93,12 @@ def signal_strength_count(df: DataFrame, buy: list[str], sell: list[str]) -> Dat
     return df.withColumn("signal_strength", score.cast("double"))
 
 
-def preprocess_resource(df: DataFrame, min_points: int, s: Series = BARS) -> DataFrame:
+def preprocess_resource(
+    df: DataFrame, min_points: int, s: Series = BARS, frequency: str | None = "1day"
+) -> DataFrame:
     """Drop exact duplicates and symbols with too few rows."""
-    counted = df.withColumn("_n", F.count(F.lit(1)).over(s.whole)).filter(c("_n") >= min_points)
-    return counted.drop("_n").dropDuplicates()
+    counted = with_stats(df, {"_n": F.count(F.lit(1))}, s, frequency)
+    return counted.filter(c("_n") >= min_points).drop("_n").dropDuplicates()
 
 
 def signal_threshold_filter(df: DataFrame, p: Signals = SIGNALS) -> DataFrame:
@@ -111,18 +113,31 @@ def signal_smoothing(df: DataFrame, s: Series = BARS) -> DataFrame:
     return df.withColumn("signal_strength", F.when(F.count(x).over(w) == 3, F.avg(x).over(w)))
 
 
-def technical_signals(bars: DataFrame, s: Series = BARS, p: Signals = SIGNALS) -> DataFrame:
+#: rows before a bar its technical signal depends on
+TECH_LOOKBACK = LOOKBACK["technical_all"] + 1
+
+
+def technical_signals(
+    bars: DataFrame, s: Series = BARS, p: Signals = SIGNALS, frequency: str | None = "1day"
+) -> DataFrame:
     """Indicators, flags and signal of every bar."""
-    return tech_signal(tech_flags(sma(technical_all(bars, s, p), s, p.sma_period), s, p), s, p)
 
+    def flagged(df: DataFrame, s: Series) -> DataFrame:
+        return tech_flags(sma(technical_all(df, s, p), s, p.sma_period), s, p)
 
-def technical_pipeline(bars: DataFrame, s: Series = BARS, p: Signals = SIGNALS) -> DataFrame:
+    flags = per_series(bars, flagged, TECH_LOOKBACK, s=s, frequency=frequency)
+    return tech_signal(flags, s, p, frequency=frequency)
+
+
+def technical_pipeline(
+    bars: DataFrame, s: Series = BARS, p: Signals = SIGNALS, frequency: str | None = "1day"
+) -> DataFrame:
     """Checked, de-duplicated bars to thresholded signals."""
     missing = {"open", "high", "low", "close", "volume"} - set(bars.columns)
     if missing:
         raise ValueError(f"missing required columns {sorted(missing)}")
-    clean = preprocess_resource(bars, p.min_data_points, s)
-    return signal_threshold_filter(technical_signals(clean, s, p), p)
+    clean = preprocess_resource(bars, p.min_data_points, s, frequency)
+    return signal_threshold_filter(technical_signals(clean, s, p, frequency), p)
 
 
 # -- fundamental ------------------------------------------------------------------

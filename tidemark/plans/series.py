@@ -19,16 +19,25 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Series:
+    """Window builder of a series; ``split`` marks a block of a longer one,
+    where frames without a bound would be wrong and are refused."""
+
     keys: tuple[str, ...] = ("symbol",)
     order: tuple[str, ...] = ("date",)
+    split: bool = False
+
+    def _unsplit(self) -> None:
+        if self.split:
+            raise ValueError("an unbounded frame was asked for inside a block of a series")
 
     @property
     def whole(self) -> WindowSpec:
+        self._unsplit()
         return Window.partitionBy(*self.keys)
 
     @property
     def ordered(self) -> WindowSpec:
-        return self.whole.orderBy(*self.order)
+        return Window.partitionBy(*self.keys).orderBy(*self.order)
 
     def frame(self, first: int, last: int = 0) -> WindowSpec:
         return self.ordered.rowsBetween(first, last)
@@ -39,11 +48,9 @@ class Series:
 
     @property
     def running(self) -> WindowSpec:
+        self._unsplit()
         return self.ordered.rowsBetween(Window.unboundedPreceding, 0)
 
-    @property
-    def before(self) -> WindowSpec:
-        return self.ordered.rowsBetween(Window.unboundedPreceding, -1)
 
 
 BARS = Series()
@@ -138,7 +145,7 @@ def in_blocks(
         .withColumns({"_home": own, "_block": F.explode(copies)})
         .drop("_pos")
     )
-    out = op(spread, Series((*s.keys, "_block"), s.order))
+    out = op(spread, Series((*s.keys, "_block"), s.order, split=True))
     return out.filter(F.col("_block") == F.col("_home")).drop("_block", "_home")
 
 
@@ -158,6 +165,20 @@ def per_series(
     return in_blocks(df, op, lookback, lookahead, s, block_rows, bucket)
 
 
+def with_stats(
+    df: DataFrame, stats: dict[str, Column], s: Series = BARS, frequency: str | None = None
+) -> DataFrame:
+    """Whole-series aggregates beside each row.
+
+    A window when the series is short; else grouped (with map-side combine)
+    and joined back, so a hot symbol is never gathered.
+    """
+    if fits_one_task(frequency):
+        return df.withColumns({n: a.over(s.whole) for n, a in stats.items()})
+    grouped = df.groupBy(*s.keys).agg(*[a.alias(n) for n, a in stats.items()])
+    return df.join(grouped, list(s.keys))
+
+
 def running_sums(
     df: DataFrame,
     sums: dict[str, Column],
