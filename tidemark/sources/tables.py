@@ -52,15 +52,20 @@ class Tables:
         aggregation with map-side combine: a hot nation ships one partial row
         per task and week, not its lines.
         """
+        # within a week the first three key columns pack into one number; a
+        # narrow order key and an integer group key keep the aggregation light
+        first = F.weekday("l_shipdate") * F.lit(10**13) + F.col("k.l_orderkey")
         prints = self.lines.join(
             self.read("supplier").select("s_suppkey", "s_nationkey"),
             F.col("l_suppkey") == F.col("s_suppkey"),
         ).select(
-            nation_symbol(F.col("s_nationkey")).alias("symbol"),
-            week(F.col("l_shipdate")).alias("date"), "k", "p", "l_quantity",
+            "s_nationkey", week(F.col("l_shipdate")).alias("date"), "p", "l_quantity",
+            F.struct(
+                (first * 10 + F.col("k.l_linenumber")).alias("a"), F.col("k.l_partkey"), F.col("k.l_suppkey")
+            ).alias("k"),
         )
         return (
-            prints.groupBy("symbol", "date")
+            prints.groupBy("s_nationkey", "date")
             .agg(
                 F.round(F.min_by("p", "k"), 6).alias("open"),
                 F.round(F.max("p"), 6).alias("high"),
@@ -68,7 +73,10 @@ class Tables:
                 F.round(F.max_by("p", "k"), 6).alias("close"),
                 (F.sum("l_quantity") * 100).cast("bigint").alias("volume"),
             )
-            .withColumn("adj_close", F.col("close"))
+            .select(
+                nation_symbol(F.col("s_nationkey")).alias("symbol"), "date", "open", "high", "low", "close",
+                "volume", F.col("close").alias("adj_close"),
+            )
         )
 
     @cached_property
