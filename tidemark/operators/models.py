@@ -106,8 +106,12 @@ def model_metrics(scored: DataFrame, label: str = "label", prediction: str = "pr
     Counts by (label, prediction) give the first four.  AUC is a rank sum over
     distinct scores, accumulated slice by slice.
     """
-    lab, pred = c(label).cast("double"), c(prediction).cast("double")
-    counts = scored.groupBy(lab.alias("l"), pred.alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    keys = [c(label).cast("double").alias("l"), c(prediction).cast("double").alias("p")]
+    if score is not None:
+        keys.append(c(score).alias("s"))
+    # the only pass over the predictions; everything below reads this grouping
+    grouped = scored.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    counts = grouped.groupBy("l", "p").agg(F.sum("n").alias("n"))
     by_label = counts.groupBy(c("l").alias("k")).agg(F.sum("n").alias("support"), F.sum(F.when(c("l") == c("p"), c("n")).otherwise(0)).alias("hit"))
     by_pred = counts.groupBy(c("p").alias("k")).agg(F.sum("n").alias("called"))
     per = by_label.join(by_pred, "k", "left").withColumns({
@@ -123,17 +127,17 @@ def model_metrics(scored: DataFrame, label: str = "label", prediction: str = "pr
     )
     if score is None:
         return base
-    s = c(score)
-    values = scored.withColumn("_k", F.lit(1)).groupBy("_k", s.alias("_s")).agg(
-        F.sum(lab).alias("pos"), F.sum(1 - lab).alias("neg"))
-    cum = cumulative(values, ["_k"], "_s", ["neg"])
+    values = grouped.withColumn("_k", F.lit(1)).groupBy("_k", "s").agg(
+        F.sum(c("n") * c("l")).alias("pos"), F.sum(c("n") * (1 - c("l"))).alias("neg"))
+    cum = cumulative(values, ["_k"], "s", ["pos", "neg"])
     below = c("neg_upto") - c("neg")
     auc = cum.agg(
         div(F.sum(c("pos") * (below + c("neg") / 2)), F.sum("pos") * F.sum("neg"))
     ).scalar()
     eps = 1e-15
-    prob = F.greatest(F.lit(eps), F.least(s, F.lit(1 - eps)))
-    loss = scored.agg(-F.avg(F.when(lab == 1, F.log(prob)).otherwise(F.log(1 - prob)))).scalar()
+    prob = F.greatest(F.lit(eps), F.least(c("s"), F.lit(1 - eps)))
+    entropy = F.when(c("l") == 1, F.log(prob)).otherwise(F.log(1 - prob))
+    loss = grouped.agg(-div(F.sum(entropy * c("n")), F.sum("n"))).scalar()
     two = c("classes") == 2
     return base.withColumns({"roc_auc": F.when(two, auc), "log_loss": F.when(two, loss)})
 

@@ -62,15 +62,23 @@ def _keep_all(df: DataFrame, tests: list[Column]) -> DataFrame:
 
 
 def outlier_iqr(df: DataFrame, columns: Sequence[str], threshold: float = 1.5) -> DataFrame:
-    """Rows with every column inside its quartile fences; a NULL fails."""
-    fences = df.withColumn("_q", _as_map(column_quantiles(df, columns, [0.25, 0.75])))
-    tests = []
+    """Rows with every column inside its quartile fences; a NULL fails.
+
+    The fences are finished inside the scalar subquery, and every mention is
+    of the same subquery, so it runs once.
+    """
+    lo, hi = c("q")[0], c("q")[1]
+    spread = (hi - lo) * threshold
+    table = column_quantiles(df, columns, [0.25, 0.75]).agg(
+        F.map_from_entries(F.collect_list(F.struct("column", F.struct((lo - spread).alias("lo"), (hi + spread).alias("hi")))))
+        .alias("m")
+    )
+    tests, fences = [], table.scalar()
     for x in columns:
-        lo, hi = c("_q")[x][0], c("_q")[x][1]
-        spread = (hi - lo) * threshold
-        tests.append(snap(c(x) - (lo - spread), 6) >= 0)
-        tests.append(snap(c(x) - (hi + spread), 6) <= 0)
-    return _keep_all(fences, tests).drop("_q")
+        fence = fences[x]
+        tests.append(snap(c(x) - fence["lo"], 6) >= 0)
+        tests.append(snap(c(x) - fence["hi"], 6) <= 0)
+    return _keep_all(df, tests)
 
 
 def _moments(df: DataFrame, columns: Sequence[str], std) -> Column:
@@ -81,11 +89,12 @@ def _moments(df: DataFrame, columns: Sequence[str], std) -> Column:
 
 
 def outlier_z(df: DataFrame, columns: Sequence[str], threshold: float = 3.0) -> DataFrame:
-    scored = df.withColumn("_m", _moments(df, columns, F.stddev_samp))
-    tests = [
-        snap(F.abs(div(c(x) - c(f"_m.{x}.mean"), c(f"_m.{x}.std")))) < threshold for x in columns
-    ]
-    return _keep_all(scored, tests).drop("_m")
+    moments = df.agg(F.struct(*[
+        F.struct(F.avg(x).alias("mean"), F.stddev_samp(x).alias("std")).alias(x) for x in columns
+    ])).scalar()
+    return _keep_all(df, [
+        snap(F.abs(div(c(x) - moments[x]["mean"], moments[x]["std"]))) < threshold for x in columns
+    ])
 
 
 def scale(df: DataFrame, columns: Sequence[str], method: str = "standard") -> DataFrame:

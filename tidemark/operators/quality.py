@@ -171,7 +171,7 @@ def drift_ks(current: DataFrame, reference: DataFrame, columns: Sequence[str]) -
     counts = both.groupBy("column", "value").agg(
         F.sum("_a").alias("a"), F.sum(1 - c("_a")).alias("b")
     )
-    sizes = both.groupBy("column").agg(F.sum("_a").alias("current_n"), F.sum(1 - c("_a")).alias("reference_n"))
+    sizes = counts.groupBy("column").agg(F.sum("a").alias("current_n"), F.sum("b").alias("reference_n"))
     cum = cumulative(counts, ["column"], "value", ["a", "b"])
     gap = F.abs(div(c("a_upto"), c("current_n")) - div(c("b_upto"), c("reference_n")))
     return cum.join(sizes, "column").groupBy("column", "current_n", "reference_n").agg(F.max(gap).alias("ks_statistic"))

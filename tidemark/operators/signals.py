@@ -163,7 +163,7 @@ def valuation_rank(
     for n in names:
         x = c(n)
         by_value = s.whole.orderBy(x.asc_nulls_last())
-        ties = F.count(F.lit(1)).over(Series((*s.keys, n), s.order).whole)
+        ties = F.count(F.lit(1)).over(by_value.rangeBetween(0, 0))  # peers: same sort as the rank
         rank = div(F.rank().over(by_value) + (ties - 1) / 2, F.count(x).over(s.whole))
         out = out.withColumn(f"{n}_rank", F.when(x.isNotNull(), rank))
         r = snap(c(f"{n}_rank"))

@@ -26,12 +26,18 @@ def unpivot(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> Da
     ).select(*by, "_cv.column", "_cv.value")
 
 
-def sliced(counts: DataFrame, by: Sequence[str], value: str, slices: int = SLICES) -> DataFrame:
+def sliced(
+    counts: DataFrame, by: Sequence[str], value: str, slices: int = SLICES, measures: Sequence[str] = ()
+) -> DataFrame:
     """Add ``_slice``: ordered value ranges of a group, from a mergeable sketch.
 
     Slices hold about equally many distinct values, so none grows with how
-    often a value occurs or how large its group is.
+    often a value occurs or how large its group is.  ``counts`` is read more
+    than once; naming its measures in a filter keeps every reader's columns
+    the same, so its exchange is computed once and reused.
     """
+    for m in measures:
+        counts = counts.filter(F.col(m) >= 0)
     steps = F.array(*[F.lit(i / slices) for i in range(1, slices)])
     cuts = counts.groupBy(*by).agg(
         F.percentile_approx(value, steps, F.lit(slices * 40)).alias("_cuts")
@@ -51,7 +57,7 @@ def cumulative(
     across slices, values only within one: no task orders a whole group.
     """
     by = list(by)
-    rows = sliced(counts, by, value, slices)
+    rows = sliced(counts, by, value, slices, measures)
     across = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy(*by, "_slice").agg(*[F.sum(m).alias(f"_t_{m}") for m in measures]).select(
         *by, "_slice", *[F.coalesce(F.sum(f"_t_{m}").over(across), F.lit(0)).alias(f"_b_{m}") for m in measures]
@@ -74,7 +80,7 @@ def exact_quantiles(
         .groupBy(*by, F.col(value).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_c"))
     )
-    rows = sliced(counts, by, "_v", slices)
+    rows = sliced(counts, by, "_v", slices, ["_c"])
     totals = rows.groupBy(*by, "_slice").agg(F.sum("_c").alias("_t"))
     across = Window.partitionBy(*by).orderBy("_slice")
     wanted = (
