@@ -48,9 +48,9 @@ class Tables:
     def bars_w(self) -> DataFrame:
         """Weekly bars, symbol = supplier nation.
 
-        One equi-join (a hot supplier is AQE's skew join to split) and one
-        aggregation with map-side combine: a hot nation ships one partial row
-        per task and week, not its lines.
+        One scan, one equi-join (a hot supplier is AQE's skew join to split)
+        and one aggregation with map-side combine: a hot nation ships one
+        partial row per task and week, not its lines.
         """
         # within a week the first three key columns pack into one number; a
         # narrow order key and an integer group key keep the aggregation light
