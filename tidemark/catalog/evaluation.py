@@ -141,7 +141,7 @@ SELECT * FROM w
 register("portfolio_value", lambda t: k.portfolio_value(t.bars_d.select("symbol", "date", (c("close") * 10).alias("market_value")), 100000.0), """
 SELECT date, count(*) AS num_positions, sum(close * 10) AS positions_value, sum(close * 10) + 100000 AS total_value FROM bars_d GROUP BY 1
 """, "positions_value:3 total_value:3")
-register("exit_scan", lambda t: k.exit_scan(t.bars_w, t.bars_w.groupBy("symbol", F.trunc("date", "quarter").alias("q")).agg(
+register("exit_scan", lambda t: k.exit_scan(t.bars_landed, t.bars_landed.groupBy("symbol", F.trunc("date", "quarter").alias("q")).agg(
     F.min_by(F.struct("date", "close"), "date").alias("e")).select("symbol", "e.*")), """
 SELECT e.symbol, e.date AS entry_date, e.close AS entry_price, x.date AS exit_date, x.close AS exit_price, x.reason AS exit_reason, CAST(x.date - e.date AS INTEGER) AS holding_days
 FROM entry_points e LEFT JOIN (
@@ -251,18 +251,18 @@ cte("var_row", f"SELECT stddev_samp(pr) AS volatility, abs(stddev_samp(pr) * {Z}
 
 
 def weights(t):
-    per = t.bars_w.groupBy("symbol").agg(F.sum("volume").alias("v"))
-    total = t.bars_w.agg(F.sum("volume")).scalar()
+    per = t.bars_landed.groupBy("symbol").agg(F.sum("volume").alias("v"))
+    total = t.bars_landed.agg(F.sum("volume")).scalar()
     return per.select("symbol", (c("v") / total).alias("weight"))
 
 
 register("return_window", lambda t: pf.return_window(t.bars_w), "SELECT * FROM ret252", "return")
-register("var_parametric", lambda t: pf.var_parametric(pf.return_window(t.bars_w), weights(t)), "SELECT * FROM var_row", "volatility portfolio_var expected_shortfall")
-register("position_var", lambda t: pf.position_var(pf.return_window(t.bars_w), weights(t)), f"""
+register("var_parametric", lambda t: pf.var_parametric(pf.return_window(t.bars_landed), weights(t)), "SELECT * FROM var_row", "volatility portfolio_var expected_shortfall")
+register("position_var", lambda t: pf.position_var(pf.return_window(t.bars_landed), weights(t)), f"""
 SELECT symbol, weight, volatility, abs(weight * volatility * {Z}) AS position_var FROM wts JOIN (SELECT symbol, stddev_samp(return) AS volatility FROM ret252 GROUP BY 1) USING (symbol)
 """, "weight volatility position_var")
-register("var_historical", lambda t: pf.var_historical(pf.return_window(t.bars_w), weights(t)), "SELECT abs(quantile_cont(pr, 0.05)) AS historical_var FROM port", "historical_var")
-register("var_stress", lambda t: pf.var_stress(pf.var_parametric(pf.return_window(t.bars_w), weights(t))), """
+register("var_historical", lambda t: pf.var_historical(pf.return_window(t.bars_landed), weights(t)), "SELECT abs(quantile_cont(pr, 0.05)) AS historical_var FROM port", "historical_var")
+register("var_stress", lambda t: pf.var_stress(pf.var_parametric(pf.return_window(t.bars_landed), weights(t))), """
 SELECT scenario, multiplier, portfolio_var * multiplier AS stress_var FROM var_row,
  (VALUES ('market_crash', 2.0::DOUBLE), ('volatility_spike', 1.5::DOUBLE), ('correlation_breakdown', 1.3::DOUBLE)) s(scenario, multiplier)
 """, "stress_var")
@@ -273,8 +273,8 @@ def var_trades(t):
 
 
 register("var_limit_flags", lambda t: pf.var_limit_flags(
-    var_trades(t), pf.return_window(t.bars_w).groupBy("symbol").agg((F.stddev_samp("return") / 1000).alias("volatility")),
-    pf.var_parametric(pf.return_window(t.bars_w), weights(t)).select(
+    var_trades(t), pf.return_window(t.bars_landed).groupBy("symbol").agg((F.stddev_samp("return") / 1000).alias("volatility")),
+    pf.var_parametric(pf.return_window(t.bars_landed), weights(t)).select(
         (c("portfolio_var") / 1000).alias("portfolio_var"), (c("expected_shortfall") / 1000).alias("expected_shortfall")), 1000.0), f"""
 SELECT *, floor(new_var * 1e9 + 0.5) / 1e9 > 0.02 AS var_exceeded, floor(new_es * 1e9 + 0.5) / 1e9 > 0.03 AS es_exceeded, floor(stress_var * 1e9 + 0.5) / 1e9 > 0.04 AS stress_exceeded FROM (
 SELECT b.symbol, date, volume / 10000.0::DOUBLE AS quantity, close / 10000 AS price, v.volatility, volume / 10000.0::DOUBLE * (close / 10000) / 1000 AS trade_weight,

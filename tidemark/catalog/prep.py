@@ -33,15 +33,15 @@ def fence(x: str) -> str:
     return (f"floor(({x} - ({q1} - 1.5 * ({q3} - {q1}))) * 1e6 + 0.5) >= 0 AND floor(({x} - ({q3} + 1.5 * ({q3} - {q1}))) * 1e6 + 0.5) <= 0")
 
 
-register("outlier_iqr", lambda t: prep.outlier_iqr(t.bars_w, OUT), "SELECT * FROM bars_w WHERE " + " AND ".join(fence(x) for x in OUT))
-register("outlier_z", lambda t: prep.outlier_z(t.bars_w, OUT, 2.0), "SELECT * FROM bars_w WHERE " + " AND ".join(
+register("outlier_iqr", lambda t: prep.outlier_iqr(t.bars_landed, OUT), "SELECT * FROM bars_w WHERE " + " AND ".join(fence(x) for x in OUT))
+register("outlier_z", lambda t: prep.outlier_z(t.bars_landed, OUT, 2.0), "SELECT * FROM bars_w WHERE " + " AND ".join(
     f"floor(abs(({x} - (SELECT avg({x}) FROM bars_w)) / (SELECT stddev_samp({x}) FROM bars_w)) * 1e9 + 0.5) / 1e9 < 2" for x in OUT))
 for name, method, sql in (
     ("scale", "standard", "({x} - avg({x}) OVER ()) / stddev_pop({x}) OVER ()"),
     ("scale_minmax", "minmax", "({x} - min({x}) OVER ()) / (max({x}) OVER () - min({x}) OVER ())::DOUBLE"),
     ("scale_robust", "robust", "({x} - (SELECT median({x}) FROM bars_w)) / (SELECT quantile_cont({x}, 0.75) - quantile_cont({x}, 0.25) FROM bars_w)"),
 ):
-    register(name, lambda t, method=method: prep.scale(t.bars_w, ["close", "volume"], method).select("symbol", "date", "close", "volume"),
+    register(name, lambda t, method=method: prep.scale(t.bars_landed, ["close", "volume"], method).select("symbol", "date", "close", "volume"),
              "SELECT symbol, date, " + ", ".join(f"{sql.format(x=x)} AS {x}" for x in ("close", "volume")) + " FROM bars_w", "close volume")
 register("union_symbols", lambda t: t.bars_w.filter("symbol < 'N10'").select("symbol", "date", "close", "volume").unionByName(
     t.bars_w.filter("symbol >= 'N10'").select("symbol", "date", "close"), allowMissingColumns=True),

@@ -79,7 +79,7 @@ SELECT b.*, {', '.join('r.' + x for x in REPORT_COLS)} FROM bars_w b ASOF LEFT J
 
 
 def bars_with_reports(t):
-    return joins.asof_fundamentals(t.bars_w, reports(t), REPORT_COLS)
+    return joins.asof_fundamentals(t.bars_landed, reports(t), REPORT_COLS)
 
 
 register("asof_fundamentals", bars_with_reports, "SELECT * FROM asof_w")

@@ -46,8 +46,8 @@ SELECT *, CASE WHEN signal_strength > 0.3 THEN 'buy' WHEN signal_strength < -0.3
    / (2 + CASE WHEN rsi IS NULL THEN 0 ELSE 1 END)::DOUBLE AS confidence
   FROM tech_flagged)
 """)
-def tech(t, p=SIGNALS):
-    return g.technical_signals(t.bars_w, p=p, frequency="1week")
+def tech(t, p=SIGNALS, bars=None):
+    return g.technical_signals(t.bars_w if bars is None else bars, p=p, frequency="1week")
 
 
 register("tech_flags", lambda t: tech(t).select("symbol", "date", *FLAGS), f"SELECT symbol, date, {', '.join(FLAGS)} FROM tech_flagged")
@@ -103,7 +103,7 @@ FUND_COLS = ["earnings", "book_value", "revenue", "net_income", "total_equity",
 
 def fund_input(t):
     grown = reports(t).withColumns({"revenue_growth": pct_change(c("revenue"), 4), "earnings_growth": pct_change(c("earnings"), 4)})
-    joined = joins.asof_fundamentals(t.bars_w.select("symbol", "date", "close"), grown, FUND_COLS)
+    joined = joins.asof_fundamentals(t.bars_landed.select("symbol", "date", "close"), grown, FUND_COLS)
     return ratios.fund_indicators(joined, ["pe_ratio", "pb_ratio", "ps_ratio", "roe", "roa"]).select(
         "symbol", "date", "close", "pe_ratio", "pb_ratio", "ps_ratio", "roe", "roa", "revenue_growth", "earnings_growth")
 
@@ -186,7 +186,7 @@ UNION ALL SELECT symbol, date, signal_type, signal_strength, confidence, 'fundam
 
 
 def results(t):
-    return {"technical_analysis": tech(t), "fundamental_analysis": fund(t)}
+    return {"technical_analysis": tech(t, bars=t.bars_landed), "fundamental_analysis": fund(t)}
 
 
 register("strategy_align", lambda t: g.strategy_align(results(t)), "SELECT * EXCLUDE w FROM aligned", "signal_strength confidence")

@@ -1,7 +1,7 @@
 """Bar, report, tick, trade and run-log tables derived from the given data.
 
-Each property is a lazy plan over the parquet tables; nothing is cached or
-collected.  A deployment with landed bar tables swaps this class for
+Each property is a lazy plan over the parquet tables (``bars_landed`` excepted);
+nothing is cached or collected.  A deployment with landed bar tables swaps this class for
 ``storage.read_table``.
 """
 
@@ -12,6 +12,8 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.storage import stage
+
 
 def week(ts: Column) -> Column:
     """Monday of the week, by date arithmetic (no session time zone)."""
@@ -79,6 +81,12 @@ class Tables:
             )
         )
 
+    @cached_property
+    def bars_landed(self) -> DataFrame:
+        """The weekly bars as a written table, for queries that read them
+        more than once: deriving them again costs a scan of the prints each."""
+        return stage(self.bars_w, "bars")
+
     @cached_property
     def bars_d(self) -> DataFrame:
         """Daily sparse series, symbol = supplier."""
@@ -108,14 +116,15 @@ class Tables:
     def dirty_bars(self) -> DataFrame:
         """Weekly bars with planted gaps, bad prices and repeated rows."""
         w = Window.partitionBy("symbol").orderBy("date")
-        per = self.bars_w.groupBy("symbol").count()
+        bars = self.bars_landed
+        per = bars.groupBy("symbol").count()
         start = Window.orderBy("symbol").rowsBetween(Window.unboundedPreceding, -1)
         offset = per.select(
             "symbol", F.coalesce(F.sum("count").over(start), F.lit(0)).alias("o")
         )
         i = F.col("i")
         dirty = (
-            self.bars_w.join(offset, "symbol")
+            bars.join(offset, "symbol")
             .withColumn("i", F.row_number().over(w) + F.col("o"))
             .select(
                 "symbol", "date", "open", "high", "low",
