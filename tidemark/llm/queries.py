@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, fingerprint, htmltext, pieces, quality, toxicity
+from tidemark.llm import decontaminate, fingerprint, htmltext, jaccard, pieces, quality, suffixes, toxicity
 from tidemark.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extracted(pages, htmltext.train(pages))
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -34,6 +38,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.col("leak.item").alias("item_id"), "leak.score", "leak.first_word", "leak.last_word")
 
 
+def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
@@ -47,6 +55,6 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_html, op6_pieces, op7_decontamination, op9_toxicity, op10_fingerprint)
+    f.__name__: f for f in (op1_quality, op2_html, op4_jaccard, op6_pieces, op7_decontamination, op8_suffixes, op9_toxicity, op10_fingerprint)
 }
 ORACLES: dict[str, str] = {}
