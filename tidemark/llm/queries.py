@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, fingerprint, htmltext, jaccard, pieces, quality, suffixes, toxicity
+from tidemark.llm import decontaminate, fingerprint, htmltext, jaccard, lines, pieces, pii, quality, suffixes, toxicity
 from tidemark.llm.common import table
 
 
@@ -23,10 +23,19 @@ def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extracted(pages, htmltext.train(pages))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.detected(table(spark, sf_dir, "documents")))
+
+
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.deduplicated(docs).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -55,6 +64,6 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_html, op4_jaccard, op6_pieces, op7_decontamination, op8_suffixes, op9_toxicity, op10_fingerprint)
+    f.__name__: f for f in (op1_quality, op2_html, op3_pii, op4_jaccard, op5_lines, op6_pieces, op7_decontamination, op8_suffixes, op9_toxicity, op10_fingerprint)
 }
 ORACLES: dict[str, str] = {}
