@@ -58,7 +58,10 @@ def resemblance(a: np.ndarray, b: np.ndarray, k: int = K) -> float:
         return float(len(a) == len(b))
     if len(a) == len(b) and np.array_equal(a, b):
         return 1.0
-    union = np.union1d(a, b)[:k]
+    union = np.union1d(a, b)
+    if len(a) == k or len(b) == k:
+        # a full sketch is cut off, so only the k smallest of the union are known
+        union = union[:k]
     both = np.intersect1d(a, b, assume_unique=True)
     return float(np.searchsorted(both, union[-1], "right")) / len(union)
 

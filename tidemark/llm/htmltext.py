@@ -57,6 +57,10 @@ PART_WORDS = frozenset(("ad ads advert advertisement adverts banner breadcrumb b
 TEXT_WORDS = frozenset("article body content entry main post story text".split())
 PART_TAGS = frozenset("aside button dialog fieldset footer form header input label menu nav search select".split())
 OWN_ARTICLE = frozenset("article main".split())
+#: elements whose names speak of the page as a whole
+WHOLE = frozenset("html body article main".split())
+#: fixed log ratio of a node that is named as another part, and the most that other features may say
+PART_RATIO, MOST_RATIO = -14.0, 4.0
 
 
 class Node:
@@ -147,8 +151,13 @@ def parse(page: str | None) -> tuple[list[Node], list[tuple[int, int, str]]]:
     return nodes, pieces
 
 
+def is_part(node: Node) -> bool:
+    """Whether tag or names say that this is a part of the page other than the article."""
+    return node.tag in PART_TAGS or node.tag not in WHOLE and any(n in PART_WORDS for n in node.names)
+
+
 def features(node: Node, depth: int) -> list[str]:
-    part = any(n in PART_WORDS for n in node.names)
+    part = is_part(node)
     words = "part" if part else "text" if any(n in TEXT_WORDS for n in node.names) else "named" if node.names else "bare"
     kind = "part" if node.tag in PART_TAGS else node.tag if node.tag in BLOCK or node.tag == "a" else "inline"
     share = node.links / node.length if node.length else 0.0
@@ -158,7 +167,7 @@ def features(node: Node, depth: int) -> list[str]:
 class TreeModel:
     """Node and edge potentials, as log ratios and log transition probabilities."""
 
-    def __init__(self, seen: dict[tuple[str, int], float], edges: dict[tuple[int, int], float]):
+    def __init__(self, seen: dict[tuple[str, int], float], edges: dict[tuple[int, int, int], float]):
         groups: dict[str, list[dict[str, float]]] = {}
         for (f, s), n in seen.items():
             groups.setdefault(f.split(":")[0], [{}, {}])[s][f] = n
@@ -168,28 +177,37 @@ class TreeModel:
             total = [sum(e.values()) + len(names) for e in each]
             for f in names:
                 self.ratio[f] = math.log((each[1].get(f, 0) + 1) / total[1]) - math.log((each[0].get(f, 0) + 1) / total[0])
-        self.edge = [[math.log((edges.get((a, b), 0) + 1) / (edges.get((a, 0), 0) + edges.get((a, 1), 0) + 2)) for b in (0, 1)] for a in (0, 1)]
+        # one table for edges below a part of the page, one for all others
+        self.edge = [[[math.log((edges.get((k, a, b), 0) + 1) / (edges.get((k, a, 0), 0) + edges.get((k, a, 1), 0) + 2)) for b in (0, 1)] for a in (0, 1)] for k in (0, 1)]
+
+    def potentials(self, nodes: list[Node]) -> tuple[list[float], list[list[list[float]]]]:
+        """Log ratio of each node, and the edge table to its parent."""
+        n = len(nodes)
+        depth, own, below = [0] * n, [-8.0] * n, [False] * n
+        tables = [self.edge[0]] * n
+        for i in range(1, n):
+            node = nodes[i]
+            depth[i] = depth[node.parent] + 1
+            below[i] = below[node.parent] or is_part(nodes[node.parent])
+            tables[i] = self.edge[below[i]]
+            # features that depend on each other must not drown the edges
+            own[i] = PART_RATIO if is_part(node) else max(-MOST_RATIO, min(MOST_RATIO, sum(self.ratio.get(f, 0.0) for f in features(node, depth[i]))))
+        return own, tables
 
     def marginals(self, nodes: list[Node]) -> list[float]:
         """P(content) of each node: messages from the leaves up, then from the root down."""
-        e, n = self.edge, len(nodes)
-        depth = [0] * n
-        own = [0.0] * n
-        for i, node in enumerate(nodes):
-            if node.parent >= 0:
-                depth[i] = depth[node.parent] + 1
-            # a few strong features must not drown the edges
-            own[i] = max(-8.0, min(8.0, sum(self.ratio.get(f, 0.0) for f in features(node, depth[i])))) if i else -8.0
+        own, tables = self.potentials(nodes)
+        n = len(nodes)
         # messages as log ratios of the receiver's state 1 over 0
         up_in = own[:]
         up = [0.0] * n
         for i in range(n - 1, 0, -1):
-            x = up_in[i]
+            x, e = up_in[i], tables[i]
             up[i] = _log_sum(e[1][0], e[1][1] + x) - _log_sum(e[0][0], e[0][1] + x)
             up_in[nodes[i].parent] += up[i]
         belief = up_in[:]
         for i in range(1, n):
-            x = belief[nodes[i].parent] - up[i]
+            x, e = belief[nodes[i].parent] - up[i], tables[i]
             belief[i] += _log_sum(e[0][1], e[1][1] + x) - _log_sum(e[0][0], e[1][0] + x)
         return [1 / (1 + math.exp(-max(-500.0, min(500.0, b)))) for b in belief]
 
@@ -200,23 +218,19 @@ def _log_sum(a: float, b: float) -> float:
 
 def labelled(nodes: list[Node]) -> list[int] | None:
     """States of a page whose author marked the article, else None."""
-    if not any(n.tag in OWN_ARTICLE or "main" in n.names and n.tag == "div" for n in nodes) or not any(n.tag in PART_TAGS for n in nodes):
+    if not any(n.tag in OWN_ARTICLE or "main" in n.names and n.tag == "div" for n in nodes) or not any(is_part(n) for n in nodes):
         return None
-    state = [0] * len(nodes)
-    for i, node in enumerate(nodes):
-        if i == 0:
-            continue
-        outside = node.tag in PART_TAGS or any(n in PART_WORDS for n in node.names)
-        state[i] = 0 if outside else int(state[node.parent] == 1 or node.tag in OWN_ARTICLE)
-        # what stands below a marked page part stays outside
-        if node.parent >= 0 and not state[node.parent] and (nodes[node.parent].tag in PART_TAGS or any(n in PART_WORDS for n in nodes[node.parent].names)):
-            state[i] = 0
+    state, below = [0] * len(nodes), [False] * len(nodes)
+    for i in range(1, len(nodes)):
+        node = nodes[i]
+        below[i] = below[node.parent] or is_part(nodes[node.parent])
+        state[i] = 0 if below[i] or is_part(node) else int(state[node.parent] == 1 or node.tag in OWN_ARTICLE)
     return state
 
 
-#: fixed prior counts: marked page parts and what stands below them is no content
-PRIOR = {("tag:part", 0): 400.0, ("name:part", 0): 400.0, ("name:text", 1): 40.0}
-PRIOR_EDGES = {(0, 0): 50.0, (1, 1): 200.0, (0, 1): 1.0, (1, 0): 4.0}
+#: fixed prior counts: what stands below a part of the page is no content, and content mostly stays below content
+PRIOR = {("name:text", 1): 40.0}
+PRIOR_EDGES = {(0, 0, 0): 50.0, (0, 1, 1): 200.0, (0, 0, 1): 1.0, (0, 1, 0): 4.0, (1, 0, 0): 1e6, (1, 1, 0): 1e3, (1, 1, 1): 1e3}
 
 
 def page_counts(pages: list[str | None]) -> Counter:
@@ -226,12 +240,12 @@ def page_counts(pages: list[str | None]) -> Counter:
         state = labelled(nodes)
         if state is None:
             continue
-        depth = [0] * len(nodes)
-        for i, node in enumerate(nodes):
-            if not i:
-                continue
+        depth, below = [0] * len(nodes), [False] * len(nodes)
+        for i in range(1, len(nodes)):
+            node = nodes[i]
             depth[i] = depth[node.parent] + 1
-            counts["edge", str(state[node.parent]), state[i]] += 1
+            below[i] = below[node.parent] or is_part(nodes[node.parent])
+            counts["edge", f"{int(below[i])}{state[node.parent]}", state[i]] += 1
             for f in features(node, depth[i]):
                 counts["node", f, state[i]] += 1
     return counts
@@ -258,7 +272,8 @@ def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", mos
         if kind == "node":
             seen[name, state] = seen.get((name, state), 0.0) + n
         else:
-            edges[int(name), state] = edges.get((int(name), state), 0.0) + n
+            place = (int(name[0]), int(name[1]), state)
+            edges[place] = edges.get(place, 0.0) + n
     return TreeModel(seen, edges)
 
 
