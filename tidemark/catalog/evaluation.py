@@ -269,7 +269,7 @@ SELECT scenario, multiplier, portfolio_var * multiplier AS stress_var FROM var_r
 
 
 def var_trades(t):
-    return t.bars_w.filter(c("volume") > 30000).select("symbol", "date", (c("volume") / 10000).alias("quantity"), (c("close") / 10000).alias("price"))
+    return t.bars_w.select("symbol", "date", (c("volume") / 10000).alias("quantity"), (c("close") / 10000).alias("price"))
 
 
 register("var_limit_flags", lambda t: pf.var_limit_flags(
@@ -280,8 +280,7 @@ SELECT *, floor(new_var * 1e9 + 0.5) / 1e9 > 0.02 AS var_exceeded, floor(new_es
 SELECT b.symbol, date, volume / 10000.0::DOUBLE AS quantity, close / 10000 AS price, v.volatility, volume / 10000.0::DOUBLE * (close / 10000) / 1000 AS trade_weight,
   pvar / 1000 + volume / 10000.0::DOUBLE * (close / 10000) / 1000 * v.volatility * {Z} * 0.5 AS new_var, es / 1000 + volume / 10000.0::DOUBLE * (close / 10000) / 1000 * v.volatility * {E} * 0.5 AS new_es,
   pvar / 1000 * 2.0 AS stress_var
-FROM bars_w b LEFT JOIN (SELECT symbol, stddev_samp(return) / 1000 AS volatility FROM ret252 GROUP BY 1) v ON v.symbol = b.symbol, (SELECT portfolio_var AS pvar, expected_shortfall AS es FROM var_row)
-WHERE volume > 30000)
+FROM bars_w b LEFT JOIN (SELECT symbol, stddev_samp(return) / 1000 AS volatility FROM ret252 GROUP BY 1) v ON v.symbol = b.symbol, (SELECT portfolio_var AS pvar, expected_shortfall AS es FROM var_row))
 """, "price volatility trade_weight new_var new_es stress_var")
 register("diversification", lambda t: pf.diversification(
     t.bars_w.groupBy("symbol").agg(F.max_by("close", "date").alias("market_value")), 1000000.0), """

@@ -79,10 +79,7 @@ SELECT l_suppkey AS symbol, CAST(l_shipdate AS DATE) AS date, l_orderkey AS orde
        l_quantity AS quantity, p AS price, round(greatest(l_quantity * p * 0.001::DOUBLE, 1.0) + 1e-10, 6) AS commission,
        round(l_quantity * p * 0.0005::DOUBLE + 2e-11, 6) AS slippage,
        round((l_discount - 0.05::DOUBLE) * l_extendedprice, 6) AS realized_pnl
-FROM (SELECT *, round(l_extendedprice / l_quantity + 1e-9, 6) AS p,
-             row_number() OVER (PARTITION BY l_suppkey, date_trunc('month', l_shipdate)
-                                ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS n FROM lineitem)
-WHERE n <= 5
+FROM (SELECT *, round(l_extendedprice / l_quantity + 1e-9, 6) AS p FROM lineitem)
 """)
 cte("equity", """
 SELECT date, round(sum(pnl) OVER (ORDER BY date) + 100000, 6) AS total_value FROM (

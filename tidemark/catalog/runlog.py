@@ -114,7 +114,7 @@ register("training_history", lambda t: r.training_history(experiments(t).drop("f
 register("runs_best", lambda t: r.runs_best(experiments(t), "accuracy", ["experiment"]),
          "SELECT experiment, arg_max(run_id, row(accuracy, -run_id)) AS run_id, max(accuracy) AS metric_value FROM experiments GROUP BY 1")
 register("runs_compare", lambda t: r.runs_compare(experiments(t), ["accuracy", "f1"]),
-         "SELECT run_id, run_name, accuracy, f1 FROM experiments ORDER BY accuracy DESC NULLS LAST, run_id LIMIT 100", "f1")
+         "SELECT run_id, run_name, accuracy, f1 FROM experiments ORDER BY accuracy DESC NULLS LAST, run_id", "f1")
 register("runs_describe", lambda t: r.runs_describe(experiments(t), ["accuracy", "f1"], ["params", "seed"]), " UNION ALL ".join(
     f"SELECT '{x}' AS column, '{n}' AS statistic, CAST({e} AS DOUBLE) AS value FROM experiments" for x in ("accuracy", "f1") for n, e in (
         ("count", f"count({x})"), ("mean", f"avg({x})"), ("std", f"stddev_samp({x})"), ("min", f"min({x})"), ("max", f"max({x})"),

@@ -189,8 +189,9 @@ def runs_best(runs: DataFrame, metric: str, by: list[str]) -> DataFrame:
     )
 
 
-def runs_compare(runs: DataFrame, metrics: list[str], n: int = 100) -> DataFrame:
-    return runs.select("run_id", "run_name", *metrics).orderBy(c(metrics[0]).desc_nulls_last(), "run_id").limit(n)
+def runs_compare(runs: DataFrame, metrics: list[str]) -> DataFrame:
+    """All runs, best first."""
+    return runs.select("run_id", "run_name", *metrics).orderBy(c(metrics[0]).desc_nulls_last(), "run_id")
 
 
 def runs_describe(runs: DataFrame, metrics: list[str], params: list[str]) -> DataFrame:

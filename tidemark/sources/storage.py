@@ -21,11 +21,13 @@ MODES = ("append", "overwrite", "error", "ignore")
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder in the shared folder the cluster names.
 
-    Only a session without that setting (tests, a local run) gets a folder of
-    its own, which is then also set for later callers.
+    Only a local session without that setting (tests) gets a folder of its own,
+    which is then also set for later callers; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -216,19 +216,9 @@ class Tables:
     # -- trades, equity ------------------------------------------------------
     @cached_property
     def trades(self) -> DataFrame:
-        """Up to five prints per (supplier, month), in time-key order.
-
-        The rank limit is pushed below the shuffle (group-limit), so a hot
-        supplier ships at most five rows per task and month.
-        """
-        m = F.trunc("l_shipdate", "month")
-        w = Window.partitionBy("l_suppkey", "month").orderBy("k")
-        top = (
-            self.lines.withColumn("month", m)
-            .withColumn("n", F.row_number().over(w)).filter("n <= 5")
-        )
+        """Every print of a supplier is a trade."""
         qty, p = F.col("l_quantity"), F.round("p", 6)
-        return top.select(
+        return self.lines.select(
             F.col("l_suppkey").alias("symbol"),
             F.col("l_shipdate").cast("date").alias("date"),
             F.col("k.l_orderkey").alias("order_id"), F.col("k.l_linenumber").alias("line"),
