@@ -4,9 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.sources.storage import stage
-
-__all__ = ["partitions", "stage", "table"]
+from tidemark.sources import storage
+
+#: Spark's setting that removes the shuffle files of a query when it ends
+CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Cut lineage with a written table; what was shuffled for it is not read again and goes."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANED, None)
+    conf.set(CLEANED, "true")
+    try:
+        return storage.stage(df, name)
+    finally:
+        if before is None:
+            conf.unset(CLEANED)
+        else:
+            conf.set(CLEANED, before)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
