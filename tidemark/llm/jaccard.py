@@ -15,7 +15,9 @@ metric; two classes link when it is at most r = 1 - threshold.
    belongs to its nearest pivot, and by the triangle inequality a set whose
    distance to another pivot is at most 2r more is replicated there.
 3. Recursion. A region whose sets are all connected already is settled, a small
-   one is compared pair by pair, a large one gets new pivots inside its cells.
+   one is compared pair by pair, one of up to LEAF sets in one product of them (once
+   the first pivots have settled what they can, so few sets travel), a larger one
+   gets new pivots inside its cells.
    Once pivots no longer halve what is left (many sets, all a little too far
    from each other), the cells that share sets become one clump, and all pairs
    of a clump are compared block by block; nothing is left out.
@@ -44,8 +46,8 @@ from tidemark.llm.components import components
 from tidemark.llm.words import Words, buffers, mix, sets, slices
 
 WORDS, PERCENT = 4, 85
-#: regions up to this size are compared pair by pair; pivots of a larger one
-LEAF, PIVOTS = 8, 3
+#: regions up to PAIRED are compared pair by pair, up to LEAF in one task; pivots of a larger one
+PAIRED, LEAF, PIVOTS = 8, 64, 3
 RING = 1.4
 #: bits of the filter that spares sets without any partner; its size is fixed
 FILTER_BITS = 1 << 25
@@ -234,6 +236,28 @@ def _overlaps(members: list[np.ndarray]) -> np.ndarray:
     return total
 
 
+def _joining(percent: int):
+    """Links of a group of (member, label, hashes) that join components: a spanning forest of them."""
+    def run(group):
+        members = [np.frombuffer(h, np.uint64) for h in group["hashes"]]
+        ids, labels = group["member"].to_numpy(), group["label"].to_numpy()
+        size = np.array([len(m) for m in members], np.float64)
+        shared = _overlaps(members)
+        linked = (100 * shared >= percent * (size[:, None] + size[None, :] - shared)) & (labels[:, None] != labels[None, :])
+        forest = _forest(np.argwhere(np.triu(linked, 1)))
+        return pd.DataFrame({"a": ids[[x for x, _ in forest]], "b": ids[[y for _, y in forest]]}, dtype="int64")
+
+    return run
+
+
+def _together(regions: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join components inside regions of up to LEAF sets; equal regions are compared once."""
+    lists = regions.groupBy("region").agg(F.sort_array(F.collect_list(F.struct("member", "label"))).alias("sets")).select("sets").distinct()
+    rows = lists.select(F.xxhash64("sets").alias("region"), F.explode("sets").alias("set")).select("region", "set.*")
+    rows = rows.join(found.select(F.col("set_hash").alias("member"), "hashes"), "member")
+    return rows.groupBy("region").applyInPandas(_joining(percent), "a long, b long")
+
+
 def _compared(clumps: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that join components, from all pairs of each clump of (clump, member, label).
 
@@ -248,17 +272,7 @@ def _compared(clumps: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     kept = rows.groupBy("clump", "i", "j").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("clump", "i", "j")
     rows = rows.join(kept, ["clump", "i", "j"]).join(found.select(F.col("set_hash").alias("member"), "hashes"), "member")
 
-    def run(group):
-        members = [np.frombuffer(h, np.uint64) for h in group["hashes"]]
-        ids, labels = group["member"].to_numpy(), group["label"].to_numpy()
-        size = np.array([len(m) for m in members], np.float64)
-        shared = _overlaps(members)
-        linked = (100 * shared >= percent * (size[:, None] + size[None, :] - shared)) & (labels[:, None] != labels[None, :])
-        pairs = np.argwhere(np.triu(linked, 1))
-        forest = _forest(pairs)
-        return pd.DataFrame({"a": ids[[x for x, _ in forest]], "b": ids[[y for _, y in forest]]}, dtype="int64")
-
-    return rows.groupBy("clump", "i", "j").applyInPandas(run, "a long, b long")
+    return rows.groupBy("clump", "i", "j").applyInPandas(_joining(percent), "a long, b long")
 
 
 def linked_classes(docs: DataFrame, text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame | None:
@@ -277,13 +291,14 @@ def linked_classes(docs: DataFrame, text_col: str = "text", words: int = WORDS,
     while True:
         step += 1
         now = stage(_unsettled(_labelled(regions, labels)), "unsettled")
-        count = now.count()
+        leaf = LEAF if step > 1 else PAIRED
+        count, large = now.agg(F.count(F.lit(1)), F.count_if(F.col("size") > leaf)).first()
         if not count:
             return labels
         if before is not None and 2 * count > before:
             break
         before = count
-        small, big = now.filter(F.col("size") <= LEAF), now.filter(F.col("size") > LEAF)
+        small, middle, big = now.filter(F.col("size") <= PAIRED), now.filter(F.col("size").between(PAIRED + 1, leaf)), now.filter(F.col("size") > max(PAIRED, leaf))
         other = small.select("region", F.col("member").alias("b"), F.col("label").alias("label_b"))
         pairs = small.join(other, "region").filter("member < b AND label <> label_b").select(F.col("member").alias("a"), "b")
         order = Window.partitionBy("region").orderBy(F.xxhash64("member", F.lit(step)), "member")
@@ -291,8 +306,12 @@ def linked_classes(docs: DataFrame, text_col: str = "text", words: int = WORDS,
         near = big.join(pivots, "region").filter("member <> pivot").select(F.least("member", "pivot").alias("a"), F.greatest("member", "pivot").alias("b"))
         measured = stage(_measured(pairs.unionByName(near).distinct(), found), "measured")
         links = measured.filter(100 * F.col("shared") >= percent * F.col("union")).select("a", "b")
+        if leaf > PAIRED:
+            links = stage(links.unionByName(_together(middle, found, percent)), "links")
         edges = links if edges is None else edges.unionByName(links)
         labels = components(edges)
+        if not large:
+            return labels
         # the regions of the next step: Voronoi cells of the large ones
         far = big.join(pivots, "region").select("region", "member", "place", "pivot", F.least("member", "pivot").alias("a"), F.greatest("member", "pivot").alias("b"))
         far = far.join(measured, ["a", "b"], "left").withColumn("distance", F.when(F.col("a") == F.col("b"), 0.0).otherwise(1 - F.col("shared") / F.col("union")))
