@@ -175,6 +175,44 @@ def test_lines_keep_one_of_each_group(spark):
     assert got[2][2] >= 1 and got[None] == ("", 1, 1) and got[4] == ("", 1, 0) and got[5] == ("", 1, 0)
 
 
+def _distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_lines_of_one_large_key_equal_all_pairs(spark):
+    """Short words have no weight here, so all lines have one SimHash, but they form seven groups."""
+    long = "measured tonight between several harbours towards evening"
+    made = [" ".join([chr(97 + g) * 3] * 9 + ["xy"] * (g % 3) + [f"{chr(107 + k)}z"] + [long] + [chr(107 + g) * 4] * 8) for k in range(9) for g in range(7)]
+    label = list(range(len(made)))
+    for i, a in enumerate(made):
+        for j, b in enumerate(made[:i]):
+            if _distance(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9:
+                label = [label[j] if x == label[i] else x for x in label]
+    first = {x: label.index(x) for x in label}
+    assert len(first) == 7
+    docs = frame(spark, list(enumerate(made))).repartition(3)
+    _, classes = lines.line_classes(docs, "doc_id", "text")
+    assert classes.select("b0", "b1", "b2", "b3").distinct().count() == 1
+    near = lines.candidate_pairs(lines.shared_keys(classes))
+    assert near.count() < len(made) * (len(made) - 1) // 2
+    got = {r["doc_id"]: r["n_removed"] for r in lines.deduplicated(docs).collect()}
+    assert got == {i: int(first[x] != i) for i, x in enumerate(label)}
+    # every pair of different groups that differ in at most two bits is met, whatever the grid
+    keyed = spark.createDataFrame([(n, 1, int(b), n % 5, n % 5 == 0) for n, b in enumerate(np.random.default_rng(5).integers(0, 16, 300))], "line long, key long, bits long, label long, main boolean")
+    rows = [r.asDict() for r in keyed.collect()]
+    want = {(a["line"], b["line"]) for a in rows for b in rows if a["line"] < b["line"] and a["label"] != b["label"] and (a["bits"] ^ b["bits"]).bit_count() <= 2}
+    cell, lines.CELL = lines.CELL, 16
+    try:
+        assert {tuple(r) for r in lines.divided_pairs(keyed).collect()} == want
+    finally:
+        lines.CELL = cell
+
+
 def test_decontamination(spark):
     bench = spark.createDataFrame([(1, "The quick brown fox jumps over the lazy dog near the old river bank"), (2, None), (3, "two words")], "item_id long, text string")
     rows = [(1, "Noise here. the QUICK brown fox, jumps over a lazy dog near the old river bank! more"), (2, "nothing to see in this document at all"), (3, None), (None, bench.first()["text"]), (5, "two words")]
