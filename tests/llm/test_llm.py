@@ -332,3 +332,25 @@ def test_pipeline_stages(spark):
     sets = [shingles(r["text"], 5) for r in rows]
     assert not any(a and b and 100 * len(a & b) >= 80 * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == len(rows)
+
+
+def _copies(sizes, edits, seed):
+    """Lines of made-up words, each followed by copies with one word replaced."""
+    rng = np.random.default_rng(seed)
+    word = lambda: "".join(chr(97 + x) for x in rng.integers(0, 26, rng.integers(3, 10)))
+    made = []
+    for size in sizes:
+        base = [word() for _ in range(size)]
+        made.append(" ".join(base))
+        for _ in range(edits):
+            at = int(rng.integers(0, size))
+            made.append(" ".join([*base[:at], word(), *base[at + 1 :]]))
+    return made
+
+
+def test_line_recall_of_one_word_edits(spark):
+    """Near copies with one word replaced go, at all lengths."""
+    made = _copies([8, 10, 12, 15, 20, 30, 60, 120] * 6, 1, 1)
+    want = {2 * i + 1 for i in range(len(made) // 2) if _distance(made[2 * i], made[2 * i + 1]) <= 0.2 * max(map(len, made[2 * i : 2 * i + 2])) + 1e-9}
+    got = {r["doc_id"] for r in lines.deduplicated(frame(spark, list(enumerate(made)))).filter("n_removed > 0").collect()}
+    assert len(want) >= 40 and got <= want and len(got) >= 0.95 * len(want)
