@@ -354,3 +354,21 @@ def test_line_recall_of_one_word_edits(spark):
     want = {2 * i + 1 for i in range(len(made) // 2) if _distance(made[2 * i], made[2 * i + 1]) <= 0.2 * max(map(len, made[2 * i : 2 * i + 2])) + 1e-9}
     got = {r["doc_id"] for r in lines.deduplicated(frame(spark, list(enumerate(made)))).filter("n_removed > 0").collect()}
     assert len(want) >= 40 and got <= want and len(got) >= 0.95 * len(want)
+
+
+def test_line_pairs_of_a_large_key_have_no_bit_rule(spark, monkeypatch):
+    """In a key of any size all pairs of different groups are met, whatever their SimHash bits, on any grid."""
+    monkeypatch.setattr(lines, "CELL", 16)
+    rows = [(n, n % 3, n * 2654435761 % 2**32, n % 7 if n % 3 else 0, n % 7 == 0) for n in range(120)]
+    keyed = spark.createDataFrame(rows, "line long, key long, bits long, label long, main boolean")
+    text = spark.createDataFrame([(n, "x" * (10 + n % 2 * 40)) for n in range(120)], "line long, norm string")
+    want = {(a, b) for a, k, _, u, m in rows for b, j, _, v, o in rows if a < b and k == j and u != v and not (m and o) and a % 2 == b % 2}
+    assert {tuple(r) for r in lines.apart_pairs(keyed, text).collect()} == want
+    # copies of one line that differ in many bits all go, also among many
+    made = _copies([12], 30, 4)
+    made = [made[0]] + [m for m in made[1:] if _distance(made[0], m) <= 0.2 * max(len(made[0]), len(m))]
+    _, classes = lines.line_classes(frame(spark, list(enumerate(made))), "doc_id", "text")
+    blocks = [sum(r[f"b{j}"] << 16 * j for j in range(4)) for r in classes.collect()]
+    assert len(blocks) > 8 and max((a ^ b).bit_count() for a in blocks for b in blocks) > 2
+    got = lines.deduplicated(frame(spark, list(enumerate(made)))).agg({"n_removed": "sum"}).first()[0]
+    assert got == len(made) - 1
