@@ -372,3 +372,11 @@ def test_line_pairs_of_a_large_key_have_no_bit_rule(spark, monkeypatch):
     assert len(blocks) > 8 and max((a ^ b).bit_count() for a in blocks for b in blocks) > 2
     got = lines.deduplicated(frame(spark, list(enumerate(made)))).agg({"n_removed": "sum"}).first()[0]
     assert got == len(made) - 1
+
+
+def test_short_and_blank_free_lines(spark):
+    wide = "".join(chr(0x4E00 + k * 7919 % 20000) for k in range(60))
+    few = "of the cat and a dog in our old hut by the sea we saw"
+    made = ["short one", "Short one ", "   ", "   ", "\t", "\t", wide, wide[:30] + "x" + wide[31:], "one\ttwo\tthree\tfour\tfive\tsix words", "one\ttwo\tthree\tfour\tfive\tsix wards", few, few.replace("hut", "den")]
+    got = {r["doc_id"]: r["n_removed"] for r in lines.deduplicated(frame(spark, list(enumerate(made))), short=True).collect()}
+    assert got == {k: int(k in (1, 7, 9, 11)) for k in range(len(made))}

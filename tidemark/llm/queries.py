@@ -33,7 +33,7 @@ def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return lines.deduplicated(docs).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+    return lines.deduplicated(docs, short=True).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
 
 
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
