@@ -380,3 +380,13 @@ def test_short_and_blank_free_lines(spark):
     made = ["short one", "Short one ", "   ", "   ", "\t", "\t", wide, wide[:30] + "x" + wide[31:], "one\ttwo\tthree\tfour\tfive\tsix words", "one\ttwo\tthree\tfour\tfive\tsix wards", few, few.replace("hut", "den")]
     got = {r["doc_id"]: r["n_removed"] for r in lines.deduplicated(frame(spark, list(enumerate(made))), short=True).collect()}
     assert got == {k: int(k in (1, 7, 9, 11)) for k in range(len(made))}
+
+
+def test_html_stray_quotes():
+    """A quote opens a value only right after the equals sign."""
+    said = lambda page: [t for _, _, t in htmltext.parse(page)[1]]
+    assert said('<p title="a"b">First words <a href="x">link</a> last') == ["First words ", "link", " last"]
+    assert said("<a href=/it's>First</a> words <b>more</b>") == ["First", " words ", "more"]
+    assert said("<p it's>One <i \">two</i> <b a = 'x>y' c=\"u>v\" d=e=\"f>three") == ["One ", "two", " ", "three"]
+    assert htmltext.parse("<div class = 'side bar' id=main>x</div>")[0][1].names == ("side", "bar", "main")
+    assert said('<p title="never closed>x') == []
