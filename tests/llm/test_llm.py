@@ -390,3 +390,12 @@ def test_html_stray_quotes():
     assert said("<p it's>One <i \">two</i> <b a = 'x>y' c=\"u>v\" d=e=\"f>three") == ["One ", "two", " ", "three"]
     assert htmltext.parse("<div class = 'side bar' id=main>x</div>")[0][1].names == ("side", "bar", "main")
     assert said('<p title="never closed>x') == []
+
+
+def test_decontamination_of_a_popular_item_with_either_half_edited(spark):
+    item = [f"item{k}" for k in range(16)]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    first, second = item[:8] + [f"new{k}" for k in range(8)], [f"new{k}" for k in range(8)] + item[8:]
+    rows = [(n, " ".join(item)) for n in range(40)] + [(100, " ".join(first)), (101, " ".join(second))]
+    got = {r["doc_id"]: r["leaks"] for r in decontaminate.with_matches(frame(spark, rows), bench).collect()}
+    assert all(got[n] and got[n][0]["item"] == 1 for n in [*range(40), 100, 101])

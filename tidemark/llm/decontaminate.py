@@ -3,8 +3,9 @@
 Words are compared without case and punctuation. A benchmark item's n-grams are
 looked up in every document; how many documents hold each n-gram is counted over
 all documents. An item's seeds are its n-grams that at most ``common`` of the
-documents hold, and in any case the rarer half of them, so an item that leaked
-into very many documents keeps seeds. Around its seeds a passage is aligned with
+documents hold, and in any case those no commoner than their median (ties included)
+and the rarer half of every four neighbours, so an item that leaked into very many
+documents keeps seeds in all its parts. Around its seeds a passage is aligned with
 the item (local alignment, a match scores 1, a mismatch or gap -1/2, a repeated
 n-gram is met on every diagonal); the score divided by the item's length decides.
 
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.words import PUNCTUATION, Words, buffers, slices
 
 N = 3
-#: share of the documents above which an n-gram is no seed, unless it is among its item's rarer half
+#: share of the documents above which an n-gram is no seed, unless it is among the rarer ones of its item or of its four neighbours
 COMMON = 0.0005
 AT_LEAST = 0.5
 MISS = 0.5
@@ -60,14 +61,26 @@ class Items:
         self.distinct = np.unique(self.gram)
 
     def keep_rare(self, df: np.ndarray, most: float) -> None:
-        """Leave the seeds: n-grams in at most ``most`` documents, or in the rarer half of their item."""
+        """Leave the seeds.
+
+        They are the n-grams in at most ``most`` documents, those no commoner than the
+        median of their item, ties included, and the rarer half of every four neighbours.
+        """
         count = df[np.searchsorted(self.distinct, self.gram)]
-        order = np.lexsort((self.place, count, self.owner))
         size = np.bincount(self.owner, minlength=len(self.words))
         start = np.cumsum(size) - size
+        by_count = np.lexsort((count, self.owner))
+        median = np.zeros(len(size), count.dtype)
+        some = size > 0
+        median[some] = count[by_count][(start + size // 2)[some]]
+        # places of one item are numbered from 0, so every four neighbours are a block
+        order = np.lexsort((self.place, count, self.place // 4, self.owner))
+        own, block = self.owner[order], self.place[order] // 4
+        first = np.r_[True, (own[1:] != own[:-1]) | (block[1:] != block[:-1])] if len(order) else np.zeros(0, bool)
+        at = np.arange(len(order))
         rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order)) - start[self.owner[order]]
-        keep = (count <= most) | (2 * rank < size[self.owner])
+        rank[order] = at - np.maximum.accumulate(np.where(first, at, 0))
+        keep = (count <= most) | (count <= median[self.owner]) | (rank < 2)
         self.gram, self.owner, self.place = self.gram[keep], self.owner[keep], self.place[keep]
         self.distinct = np.unique(self.gram)
 
