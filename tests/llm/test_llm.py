@@ -392,6 +392,19 @@ def test_html_stray_quotes():
     assert said('<p title="never closed>x') == []
 
 
+def test_near_stage_repeated_rows_and_shared_ids(spark):
+    import corpus_pipeline
+
+    base = [f"word{k}" for k in range(60)]
+    one, edited = " ".join(base), " ".join([*base[:-1], "changed"])
+    other, third = " ".join(f"other{k}" for k in range(40)), " ".join(f"third{k}" for k in range(40))
+    rows = [(2, one), (2, one), (3, edited), (3, other), (None, edited), (None, third), (None, third), (5, None), (5, None), (6, "")]
+    left = corpus_pipeline.near_stage(spark, frame(spark, rows).repartition(3), SF)
+    assert left.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    got = collections.Counter((r["doc_id"], r["text"]) for r in left.collect())
+    assert got == collections.Counter([(2, one), (3, other), (None, third), (5, None), (5, None), (6, "")])
+
+
 def test_decontamination_of_a_popular_item_with_either_half_edited(spark):
     item = [f"item{k}" for k in range(16)]
     bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
