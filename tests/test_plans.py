@@ -216,3 +216,23 @@ def test_pareto_front(spark):
 
 def test_calendar_math_constant():
     assert memory_rows(12) == math.ceil(41 / -math.log(11 / 13))
+
+
+def test_null_keys_and_measures_stay(spark):
+    """NULL is a key of a series and a group of a quantile; an as-of row without key or time stays."""
+    from tidemark.plans import asof, quantile, series
+
+    left = spark.createDataFrame([("a", 3), ("a", None), (None, 3)], "k string, d int").selectExpr("k", "date_add(DATE '2020-01-01', d) AS d")
+    right = spark.createDataFrame([("a", 1, 7), (None, 1, 8), ("a", None, 9)], "k string, d int, x int").selectExpr("k", "date_add(DATE '2020-01-01', d) AS d", "x")
+    got = {(r["k"], r["d"] is None): r["x"] for r in asof.asof(left, right, "k", "d", ["x"]).collect()}
+    assert got == {("a", False): 7, ("a", True): None, (None, False): None}
+    bars = spark.createDataFrame([("a", 1, 1.0), (None, 1, 2.0), (None, 2, 3.0), ("a", None, 4.0)], "symbol string, d int, x double").selectExpr("symbol", "date_add(DATE '2020-01-01', d) AS date", "x")
+    assert series.positions(bars).count() == 4
+    for made in (lambda f: series.running_sums(bars, {"y": F.col("x")}, frequency=f), lambda f: series.with_stats(bars, {"y": F.sum("x")}, frequency=f)):
+        whole, blocks = ({(r["symbol"], r["x"]): r["y"] for r in made(f).collect()} for f in ("1week", None))
+        assert whole == blocks and len(whole) == 4
+    counts = spark.createDataFrame([(None, 1.0, 2), (None, 2.0, -1), ("g", 1.0, None), ("g", 2.0, 4)], "g string, v double, m long")
+    got = {(r["g"], r["v"]): r["m_upto"] for r in quantile.cumulative(counts, ["g"], "v", ["m"]).collect()}
+    assert got[None, 1.0] == 2 and got[None, 2.0] == 1 and got["g", 2.0] == 4 and len(got) == 4
+    values = spark.createDataFrame([(None, 1.0), (None, 3.0), ("g", 5.0)], "g string, v double")
+    assert {r["g"]: (r["n"], r["q"]) for r in quantile.exact_quantiles(values, "v", [0.5], ["g"]).collect()} == {None: (2, [2.0]), "g": (1, [5.0])}

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.plans.series import null_safe_join
+
 
 def neighbours(
     left: DataFrame,
@@ -26,8 +28,10 @@ def neighbours(
 
     ``_prev`` is the latest right row at or before the left row's time,
     ``_next`` the earliest one after it.  ``tie`` orders right rows of equal
-    time for ``_prev``: the first of them is taken.
+    time for ``_prev``: the first of them is taken.  Left rows without key or
+    time stay, with nothing around them; such right rows are near nothing.
     """
+    right = right.filter(F.col(key).isNotNull() & F.col(time).isNotNull())
     slot = slot if slot is not None else F.date_trunc("month", F.col(time).cast("timestamp"))
     tie = tie or []
     picked = F.struct(F.col(time), *[F.col(c) for c in payload])
@@ -48,7 +52,7 @@ def neighbours(
     edges = rights.withColumn("_slot", slot).groupBy(key, "_slot").agg(
         F.max_by("_hit", time).alias("_last"), F.min_by("_hit", time).alias("_first")
     )
-    slots = both.select(key, "_slot").distinct().join(edges, [key, "_slot"], "left")
+    slots = null_safe_join(both.select(key, "_slot").distinct(), edges, [key, "_slot"], "left")
     across = Window.partitionBy(key).orderBy("_slot")
     carried = slots.select(
         key, "_slot",
@@ -69,10 +73,11 @@ def neighbours(
             "_next",
             F.last("_hit", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0)),
         )
-    out = out.filter("_side = 1").join(carried, [key, "_slot"])
-    extra = [F.coalesce("_prev", "_carry").alias("_prev")]
+    out = null_safe_join(out.filter("_side = 1"), carried, [key, "_slot"])
+    timed = F.col(time).isNotNull()
+    extra = [F.when(timed, F.coalesce("_prev", "_carry")).alias("_prev")]
     if following:
-        extra.append(F.coalesce("_next", "_ahead").alias("_next"))
+        extra.append(F.when(timed, F.coalesce("_next", "_ahead")).alias("_next"))
     return out.select("_row.*", *extra)
 
 

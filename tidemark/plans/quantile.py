@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.plans.series import null_safe_join
+
 SLICES = 256
 
 
@@ -27,22 +29,19 @@ def unpivot(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> Da
 
 
 def sliced(
-    counts: DataFrame, by: Sequence[str], value: str, slices: int = SLICES, measures: Sequence[str] = ()
+    counts: DataFrame, by: Sequence[str], value: str, slices: int = SLICES
 ) -> DataFrame:
     """Add ``_slice``: ordered value ranges of a group, from a mergeable sketch.
 
     Slices hold about equally many distinct values, so none grows with how
-    often a value occurs or how large its group is.  ``counts`` is read more
-    than once; naming its measures in a filter keeps every reader's columns
-    the same, so its exchange is computed once and reused.
+    often a value occurs or how large its group is.  No row is dropped: NULL is
+    a group like any other, and measures may be NULL or negative.
     """
-    for m in measures:
-        counts = counts.filter(F.col(m) >= 0)
     steps = F.array(*[F.lit(i / slices) for i in range(1, slices)])
     cuts = counts.groupBy(*by).agg(
         F.percentile_approx(value, steps, F.lit(slices * 40)).alias("_cuts")
     )
-    joined = counts.join(cuts, list(by)) if by else counts.withColumn("_cuts", cuts.scalar())
+    joined = null_safe_join(counts, cuts, by) if by else counts.withColumn("_cuts", cuts.scalar())
     return joined.withColumn(
         "_slice", F.size(F.filter("_cuts", lambda cut: cut < F.col(value)))
     ).drop("_cuts")
@@ -57,7 +56,7 @@ def cumulative(
     across slices, values only within one: no task orders a whole group.
     """
     by = list(by)
-    rows = sliced(counts, by, value, slices, measures)
+    rows = sliced(counts, by, value, slices)
     across = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy(*by, "_slice").agg(*[F.sum(m).alias(f"_t_{m}") for m in measures]).select(
         *by, "_slice", *[F.coalesce(F.sum(f"_t_{m}").over(across), F.lit(0)).alias(f"_b_{m}") for m in measures]
@@ -65,7 +64,7 @@ def cumulative(
     inside = (
         Window.partitionBy(*by, "_slice").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     )
-    return rows.join(starts, [*by, "_slice"]).withColumns({
+    return null_safe_join(rows, starts, [*by, "_slice"]).withColumns({
         f"{m}_upto": F.sum(m).over(inside) + F.col(f"_b_{m}") for m in measures
     }).drop("_slice", *[f"_b_{m}" for m in measures])
 
@@ -80,7 +79,7 @@ def exact_quantiles(
         .groupBy(*by, F.col(value).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_c"))
     )
-    rows = sliced(counts, by, "_v", slices, ["_c"])
+    rows = sliced(counts, by, "_v", slices)
     totals = rows.groupBy(*by, "_slice").agg(F.sum("_c").alias("_t"))
     across = Window.partitionBy(*by).orderBy("_slice")
     wanted = (
@@ -97,7 +96,7 @@ def exact_quantiles(
     )
     inside = Window.partitionBy(*by, "_slice").orderBy("_v")
     hits = (
-        rows.join(wanted, [*by, "_slice"])
+        null_safe_join(rows, wanted, [*by, "_slice"])
         .withColumn("_end", F.col("_before") + F.sum("_c").over(inside))
         .withColumn("_ask", F.explode("_ask"))
         .filter(

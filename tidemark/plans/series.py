@@ -10,8 +10,9 @@ ever sees more than ``block_rows + halo`` rows of one symbol.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -88,6 +89,14 @@ def default_bucket(s: Series) -> Column:
     return F.date_trunc("day", F.col(s.order[0]).cast("timestamp"))
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on columns where NULL equals NULL, as in groups and windows."""
+    names = {c: f"_on_{k}" for k, c in enumerate(on)}
+    keyed = right.withColumnsRenamed(names)
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()], F.lit(True))
+    return left.join(keyed, same, how).drop(*names.values())
+
+
 def positions(df: DataFrame, s: Series = BARS, bucket: Column | None = None) -> DataFrame:
     """Add ``_pos``, the 0-based row number in the series, slot by slot.
 
@@ -107,8 +116,7 @@ def positions(df: DataFrame, s: Series = BARS, bucket: Column | None = None) ->
     )
     inside = Window.partitionBy(*s.keys, "_slot").orderBy(*s.order)
     return (
-        rows.withColumn("_rn", F.row_number().over(inside))
-        .join(starts, [*s.keys, "_slot"])
+        null_safe_join(rows.withColumn("_rn", F.row_number().over(inside)), starts, [*s.keys, "_slot"])
         .withColumn("_pos", F.col("_start") + F.col("_rn") - 1)
         .drop("_slot", "_rn", "_start")
     )
@@ -176,7 +184,7 @@ def with_stats(
     if fits_one_task(frequency):
         return df.withColumns({n: a.over(s.whole) for n, a in stats.items()})
     grouped = df.groupBy(*s.keys).agg(*[a.alias(n) for n, a in stats.items()])
-    return df.join(grouped, list(s.keys))
+    return null_safe_join(df, grouped, s.keys)
 
 
 def running_sums(
@@ -205,7 +213,7 @@ def running_sums(
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     local = rows.withColumns({f"_l_{n}": F.sum(f"_x_{n}").over(inside) for n in names})
-    joined = local.join(carry, [*s.keys, "_slot"])
+    joined = null_safe_join(local, carry, [*s.keys, "_slot"])
     out = joined.withColumns(
         {
             n: F.coalesce(
