@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, fingerprint, htmltext, jaccard, lines, pieces, pii, quality, suffixes, toxicity
+from tidemark.llm import (
+    decontaminate, fingerprint, htmltext, infill, jaccard, lines, neighbours, oracles, pieces, pii, quality, resample, suffixes, toxicity,
+)
 from tidemark.llm.common import table
 
 
@@ -63,7 +65,20 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(infill.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_html, op3_pii, op4_jaccard, op5_lines, op6_pieces, op7_decontamination, op8_suffixes, op9_toxicity, op10_fingerprint)
+    f.__name__: f for f in (op1_quality, op2_html, op3_pii, op4_jaccard, op5_lines, op6_pieces, op7_decontamination, op8_suffixes, op9_toxicity, op10_fingerprint,
+                               op11_resample, op12_neighbours, op13_infill)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_resample": oracles.OP11, "op13_infill": oracles.OP13}
