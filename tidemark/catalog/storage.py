@@ -13,6 +13,7 @@ from tidemark.catalog.core import cte, register
 from tidemark.functions.frames import div
 from tidemark.sources import ingest as g
 from tidemark.sources import storage as s
+from tidemark.streaming import ordered
 from tidemark.streaming import replay as r
 
 c = F.col
@@ -252,12 +253,17 @@ register("ticks_to_bars", lambda t: r.ticks_to_bars(tick_rows(t), "1 hour").with
 
 
 def stream_ad(t):
-    src = s.scratch_dir(t.spark, "hourly")
-    t.bars_h.select("symbol", c("date").cast("timestamp").alias("date"), "close").write.parquet(src)
-    out, ck = streamed(t, "statuses")
-    bars = t.spark.readStream.schema("symbol string, date timestamp, close double").parquet(src)
-    r.run_to_table(r.stream_statuses(bars), out, ck)
-    day = s.read_table(t.spark, out).groupBy(c("date").cast("timestamp_ntz").alias("date"))
+    """Hourly bars that arrive up to three days after their hour, a few files a trigger."""
+    src, (out, ck), late = s.scratch_dir(t.spark, "hourly"), streamed(t, "statuses"), s.scratch_dir(t.spark, "late")
+    bars = s.stage(t.bars_h.select("symbol", c("date").cast("timestamp").alias("date"), "close"), "hourly_bars")
+    delay, slices = F.pmod(F.xxhash64("symbol", "date"), F.lit(72 * 3600)), 6
+    ordered.land_in_slices(bars, src, c("date").cast("long") + delay, slices)
+    ordered.end_stream(t.spark, src, bars.schema)
+    # rows of one slice lie in several files, in no order: the lateness covers two slices besides the delay
+    hours = bars.agg(F.coalesce(F.ceil((F.max("date").cast("long") - F.min("date").cast("long")) / 3600), F.lit(0)).alias("h")).first()["h"]
+    stream = t.spark.readStream.schema(bars.schema).option("maxFilesPerTrigger", 4).parquet(src)
+    ordered.split_late(ordered.ordered_statuses(stream, f"{72 + 2 * hours // slices} hours"), out, late, ck)
+    day = ordered.epochs(t.spark, out).groupBy(c("date").cast("timestamp_ntz").alias("date"))
     return day.agg(*[F.count_if(c("issue_status") == k).alias(k) for k in ("advancing", "declining", "unchanged")])
 
 
@@ -268,12 +274,13 @@ FROM (SELECT *, (close - lag(close) OVER (PARTITION BY symbol ORDER BY date)) /
 
 
 def stream_dedup(t):
-    src = s.scratch_dir(t.spark, "dirty")
-    t.dirty_bars.select("symbol", c("date").cast("timestamp").alias("ts"), "open").write.parquet(src)
-    out, ck = streamed(t, "dedup")
-    bars = t.spark.readStream.schema("symbol string, ts timestamp, open double").parquet(src)
-    r.run_to_table(r.stream_dedup(bars), out, ck)
-    return s.read_table(t.spark, out).select("symbol", c("ts").cast("date").alias("date"), "open")
+    """Repeated bars in no order, a few files a trigger."""
+    src, (out, ck) = s.scratch_dir(t.spark, "dirty"), streamed(t, "dedup")
+    bars = t.dirty_bars.select("symbol", c("date").cast("timestamp").alias("ts"), "open")
+    ordered.land_in_slices(s.stage(bars.withColumn("at", F.rand(11)), "dirty_rows"), src, c("at"), 4)
+    stream = t.spark.readStream.schema(bars.schema).option("maxFilesPerTrigger", 4).parquet(src)
+    ordered.first_copies_to_table(stream, out, ck, ["symbol", "ts"], "ts")
+    return ordered.epochs(t.spark, out).select("symbol", c("ts").cast("date").alias("date"), "open")
 
 
 register("stream_dedup", stream_dedup, "SELECT DISTINCT symbol, date, open FROM dirty_bars")
