@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.frames import div, snap
+from tidemark.operators.positions import positions_mark as positions_mark
 from tidemark.params import TRADING, Trading
 from tidemark.plans.series import Series
 
@@ -170,67 +169,6 @@ def trade_limits(trades: DataFrame, portfolio_value: float, current_risk: float,
 
 
 # -- positions -------------------------------------------------------------------
-MARK = (
-    "symbol bigint, date date, order_id bigint, line int, part_id bigint, signal_type string, quantity double, price double, "
-    "status string, position_quantity double, average_price double, trade_pnl double, realized_pnl double, "
-    "market_value double, unrealized_pnl double, total_pnl double"
-)
-
-
-def _mark_batches(batches: Iterator) -> Iterator:
-    """Walk sorted trades with the open position as the only state."""
-    import numpy as np
-
-    symbol, qty, avg, realized = None, 0.0, 0.0, 0.0
-    for pdf in batches:
-        cols = {k: pdf[k].to_numpy() for k in ("symbol", "signal_type", "quantity", "price", "commission", "slippage")}
-        n = len(pdf)
-        out = {k: np.zeros(n) for k in ("position_quantity", "average_price", "trade_pnl", "realized_pnl")}
-        status = np.full(n, "executed", dtype=object)
-        for i in range(n):
-            if cols["symbol"][i] != symbol:
-                symbol, qty, avg, realized = cols["symbol"][i], 0.0, 0.0, 0.0
-            side, q, px = cols["signal_type"][i], cols["quantity"][i], cols["price"][i]
-            gain = np.nan
-            if side in ("buy", "cover"):
-                total = qty + q
-                avg = (qty * avg + q * px) / total if total > 0 else 0.0
-                qty = total
-            elif side in ("sell", "short") and q <= qty:
-                gain = q * px - q * avg - cols["commission"][i] - cols["slippage"][i]
-                realized += gain
-                qty -= q
-                avg = 0.0 if qty == 0 else avg
-            else:
-                status[i] = "rejected"
-            out["position_quantity"][i], out["average_price"][i] = qty, avg
-            out["trade_pnl"][i], out["realized_pnl"][i] = gain, realized
-        res = pdf[["symbol", "date", "order_id", "line", "part_id", "signal_type", "quantity", "price"]].copy()
-        res["status"] = status
-        for k, v in out.items():
-            res[k] = v
-        res["market_value"] = res["position_quantity"] * res["price"]
-        res["unrealized_pnl"] = (res["price"] - res["average_price"]) * res["position_quantity"]
-        res["total_pnl"] = res["unrealized_pnl"] + res["realized_pnl"]
-        yield res
-
-
-def positions_mark(trades: DataFrame) -> DataFrame:
-    """Position after each trade: average cost, realised and open profit.
-
-    Selling more than is held is rejected, so the position is a true fold over
-    the trades.  Spark clusters and sorts (spilling if need be); Python sees
-    Arrow batches and keeps four numbers, never a symbol's whole history.
-    """
-    marked = (
-        trades.repartition("symbol")
-        .sortWithinPartitions("symbol", "date", "order_id", "line", "part_id")
-        .mapInPandas(_mark_batches, MARK)
-    )
-    gain = c("trade_pnl")
-    return marked.withColumn("trade_pnl", F.when(~F.isnan(gain), gain))
-
-
 def portfolio_value(positions: DataFrame, cash: float) -> DataFrame:
     """Cash plus market value of the positions held, by date."""
     return positions.groupBy("date").agg(
