@@ -236,3 +236,44 @@ def test_null_keys_and_measures_stay(spark):
     assert got[None, 1.0] == 2 and got[None, 2.0] == 1 and got["g", 2.0] == 4 and len(got) == 4
     values = spark.createDataFrame([(None, 1.0), (None, 3.0), ("g", 5.0)], "g string, v double")
     assert {r["g"]: (r["n"], r["q"]) for r in quantile.exact_quantiles(values, "v", [0.5], ["g"]).collect()} == {None: (2, [2.0]), "g": (1, [5.0])}
+
+
+def test_null_safe_keys_cost_no_further_exchange(spark, tmp_path):
+    """Series, as-of joins and quantiles shuffle as often as with keys that can't be NULL."""
+    from tidemark.operators import joins
+    from tidemark.plans import quantile, series
+
+    path = str(tmp_path / "bars")
+    spark.range(10).selectExpr("CAST(id % 2 AS string) AS symbol", "date_add(DATE '2020-01-01', CAST(id AS int)) AS date", "double(id) AS x",
+                               "TIMESTAMP '2020-01-01' AS ts", "id AS event_id").write.parquet(path)
+    bars = spark.read.parquet(path)
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        plans = {
+            "positions": series.positions(bars), "running": series.running_sums(bars, {"y": F.col("x")}),
+            "asof": asof(bars, bars, "symbol", "date", ["x"]), "quantile": quantile.exact_quantiles(bars, "x", [0.5], ["symbol"]),
+            "nearest": joins.nearest_tick_join(bars, bars, ["x"]),
+        }
+        counts = {k: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") for k, df in plans.items()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert counts["positions"] <= 4 and counts["running"] <= 4 and counts["asof"] <= 8
+    assert counts["quantile"] <= 10 and counts["nearest"] <= 10
+
+
+def test_runs_in_slots_equal_runs_of_the_whole(spark):
+    from itertools import groupby
+
+    from tidemark.plans.islands import run_lengths
+
+    rng = np.random.default_rng(8)
+    data = [(k, int(i), "wlf"[rng.choice(3, p=[0.6, 0.3, 0.1])] if i % 40 < 30 else "w") for k in ("a", "b", None) for i in rng.permutation(200)]
+    df = spark.createDataFrame(data, "symbol string, at int, flag string").repartition(4)
+    want = sorted(repr((k, f, len(list(g)))) for k in ("a", "b", None) for f, g in groupby(x[2] for x in sorted((d for d in data if d[0] == k), key=lambda d: d[1])))
+    for width in (1, 7, 50, 1000):
+        got = run_lengths(df, F.col("flag"), Series(order=("at",)), F.floor(F.col("at") / width))
+        assert sorted(repr(tuple(r)) for r in got.select("symbol", "_flag", "_n").collect()) == want, width

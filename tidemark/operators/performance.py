@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.frames import corr, div, pct_change, snap
 from tidemark.operators.costing import TRADES_SERIES, diversification_factor
 from tidemark.params import ES_FACTORS, STRESS, TRADING, Z_SCORES, Trading
-from tidemark.plans.islands import islands
+from tidemark.plans.islands import islands, run_lengths
 from tidemark.plans.series import BARS, DAILY, Series
 
 c = F.col
@@ -156,11 +156,10 @@ def symbol_performance(trades: DataFrame) -> DataFrame:
 def streaks(trades: DataFrame, s: Series = TRADES_SERIES) -> DataFrame:
     """Longest winning and losing run of each symbol's trades."""
     sign = F.when(c("realized_pnl") > 0, "win").when(c("realized_pnl") < 0, "loss").otherwise("flat")
-    loss_or_zero = islands(trades, sign, s)
-    runs = loss_or_zero.groupBy(*s.keys, "_island", "_flag").agg(F.count(F.lit(1)).alias("n"))
+    runs = run_lengths(trades, sign, s)
     return runs.groupBy(*s.keys).agg(
-        F.coalesce(F.max(F.when(c("_flag") == "win", c("n"))), F.lit(0)).alias("consecutive_wins"),
-        F.coalesce(F.max(F.when(c("_flag") == "loss", c("n"))), F.lit(0)).alias("consecutive_losses"),
+        F.coalesce(F.max(F.when(c("_flag") == "win", c("_n"))), F.lit(0)).alias("consecutive_wins"),
+        F.coalesce(F.max(F.when(c("_flag") == "loss", c("_n"))), F.lit(0)).alias("consecutive_losses"),
     )
 
 

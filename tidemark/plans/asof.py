@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.plans.series import null_safe_join
+from tidemark.plans.series import cell
 
 
 def neighbours(
@@ -48,32 +48,31 @@ def neighbours(
         F.col(key), F.col(time), F.lit(0).alias("_side"),
         F.lit(None).cast(lefts.schema["_row"].dataType).alias("_row"), "_hit",
     )
-    both = lefts.unionByName(rights).withColumn("_slot", slot)
-    edges = rights.withColumn("_slot", slot).groupBy(key, "_slot").agg(
-        F.max_by("_hit", time).alias("_last"), F.min_by("_hit", time).alias("_first")
-    )
-    slots = null_safe_join(both.select(key, "_slot").distinct(), edges, [key, "_slot"], "left")
-    across = Window.partitionBy(key).orderBy("_slot")
+    at = cell(key, slot).alias("_cell")
+    both = lefts.unionByName(rights).select("*", at)
+    edges = rights.select("*", at).groupBy("_cell").agg(F.max_by("_hit", time).alias("_last"), F.min_by("_hit", time).alias("_first"))
+    slots = both.select("_cell").distinct().join(edges, "_cell", "left")
+    across = Window.partitionBy("_cell.k0").orderBy("_cell.k1")
     carried = slots.select(
-        key, "_slot",
+        "_cell",
         F.last("_last", ignorenulls=True)
         .over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"),
         F.first("_first", ignorenulls=True)
         .over(across.rowsBetween(1, Window.unboundedFollowing)).alias("_ahead"),
     )
-    inside = Window.partitionBy(key, "_slot").orderBy(time, "_side")
+    inside = Window.partitionBy("_cell").orderBy(time, "_side")
     out = both.withColumn(
         "_prev",
         F.last("_hit", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)),
     )
     if following:
         # same sort order, read from the other end: a running frame, not a growing one
-        back = Window.partitionBy(key, "_slot").orderBy(F.col(time).desc(), F.col("_side").desc())
+        back = Window.partitionBy("_cell").orderBy(F.col(time).desc(), F.col("_side").desc())
         out = out.withColumn(
             "_next",
             F.last("_hit", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0)),
         )
-    out = null_safe_join(out.filter("_side = 1"), carried, [key, "_slot"])
+    out = out.filter("_side = 1").join(carried, "_cell")
     timed = F.col(time).isNotNull()
     extra = [F.when(timed, F.coalesce("_prev", "_carry")).alias("_prev")]
     if following:

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.plans.series import null_safe_join
+from tidemark.plans.series import cell
 
 SLICES = 256
 
@@ -28,6 +28,20 @@ def unpivot(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> Da
     ).select(*by, "_cv.column", "_cv.value")
 
 
+def _sliced(counts: DataFrame, by: Sequence[str], value: str, slices: int = SLICES) -> DataFrame:
+    """``sliced`` with the group also as one value, ``_group``, that is never NULL."""
+    steps = F.array(*[F.lit(i / slices) for i in range(1, slices)])
+    rows = counts.withColumn("_group", cell(*by) if by else F.lit(0))
+    cut = F.percentile_approx(value, steps, F.lit(slices * 40)).alias("_cuts")
+    if by:
+        joined = rows.join(rows.groupBy("_group").agg(cut), "_group")
+    else:
+        joined = rows.withColumn("_cuts", counts.agg(cut).scalar())
+    return joined.withColumn(
+        "_slice", F.coalesce(F.size(F.filter("_cuts", lambda cut: cut < F.col(value))), F.lit(0))
+    ).drop("_cuts")
+
+
 def sliced(
     counts: DataFrame, by: Sequence[str], value: str, slices: int = SLICES
 ) -> DataFrame:
@@ -37,14 +51,7 @@ def sliced(
     often a value occurs or how large its group is.  No row is dropped: NULL is
     a group like any other, and measures may be NULL or negative.
     """
-    steps = F.array(*[F.lit(i / slices) for i in range(1, slices)])
-    cuts = counts.groupBy(*by).agg(
-        F.percentile_approx(value, steps, F.lit(slices * 40)).alias("_cuts")
-    )
-    joined = null_safe_join(counts, cuts, by) if by else counts.withColumn("_cuts", cuts.scalar())
-    return joined.withColumn(
-        "_slice", F.size(F.filter("_cuts", lambda cut: cut < F.col(value)))
-    ).drop("_cuts")
+    return _sliced(counts, by, value, slices).drop("_group")
 
 
 def cumulative(
@@ -56,17 +63,17 @@ def cumulative(
     across slices, values only within one: no task orders a whole group.
     """
     by = list(by)
-    rows = sliced(counts, by, value, slices)
-    across = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy(*by, "_slice").agg(*[F.sum(m).alias(f"_t_{m}") for m in measures]).select(
-        *by, "_slice", *[F.coalesce(F.sum(f"_t_{m}").over(across), F.lit(0)).alias(f"_b_{m}") for m in measures]
+    rows = _sliced(counts, by, value, slices)
+    place = ["_group", "_slice"]
+    across = Window.partitionBy("_group").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(*place).agg(*[F.sum(m).alias(f"_t_{m}") for m in measures]).select(
+        *place, *[F.coalesce(F.sum(f"_t_{m}").over(across), F.lit(0)).alias(f"_b_{m}") for m in measures]
     )
-    inside = (
-        Window.partitionBy(*by, "_slice").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    )
-    return null_safe_join(rows, starts, [*by, "_slice"]).withColumns({
-        f"{m}_upto": F.sum(m).over(inside) + F.col(f"_b_{m}") for m in measures
-    }).drop("_slice", *[f"_b_{m}" for m in measures])
+    inside = Window.partitionBy(*place).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    sums = rows.withColumns({f"{m}_upto": F.sum(m).over(inside) for m in measures})
+    return sums.join(starts, place).withColumns({
+        f"{m}_upto": F.col(f"{m}_upto") + F.col(f"_b_{m}") for m in measures
+    }).drop(*place, *[f"_b_{m}" for m in measures])
 
 
 def exact_quantiles(
@@ -79,41 +86,43 @@ def exact_quantiles(
         .groupBy(*by, F.col(value).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_c"))
     )
-    rows = sliced(counts, by, "_v", slices)
-    totals = rows.groupBy(*by, "_slice").agg(F.sum("_c").alias("_t"))
-    across = Window.partitionBy(*by).orderBy("_slice")
+    rows = _sliced(counts, by, "_v", slices)
+    place = ["_group", "_slice"]
+    totals = rows.groupBy(*place).agg(F.sum("_c").alias("_t"))
+    across = Window.partitionBy("_group").orderBy("_slice")
     wanted = (
         totals.withColumns({
             "_before": F.sum("_t").over(across) - F.col("_t"),
-            "_n": F.sum("_t").over(Window.partitionBy(*by)),
+            "_n": F.sum("_t").over(Window.partitionBy("_group")),
         })
         .withColumn("_p", F.explode(F.array(*[F.lit(float(p)) for p in sorted(probs)])))
         .withColumn("_h", F.col("_p") * (F.col("_n") - 1))
         .withColumn("_r", F.explode(F.array(F.floor("_h"), F.ceil("_h"))))
         .filter((F.col("_r") >= F.col("_before")) & (F.col("_r") < F.col("_before") + F.col("_t")))
-        .groupBy(*by, "_slice", "_before", "_n")
+        .groupBy(*place, "_before", "_n")
         .agg(F.collect_set(F.struct("_p", "_h", "_r")).alias("_ask"))
     )
-    inside = Window.partitionBy(*by, "_slice").orderBy("_v")
+    inside = Window.partitionBy(*place).orderBy("_v")
     hits = (
-        null_safe_join(rows, wanted, [*by, "_slice"])
-        .withColumn("_end", F.col("_before") + F.sum("_c").over(inside))
+        rows.withColumn("_sum", F.sum("_c").over(inside)).join(wanted, place)
+        .withColumn("_end", F.col("_before") + F.col("_sum"))
         .withColumn("_ask", F.explode("_ask"))
         .filter(
             (F.col("_ask._r") < F.col("_end"))
             & (F.col("_ask._r") >= F.col("_end") - F.col("_c"))
         )
     )
+    # a quantile lies between at most two values: few for each group
     frac = F.col("_ask._h") - F.floor("_ask._h")
-    points = hits.groupBy(*by, "_n", F.col("_ask._p").alias("_p")).agg(
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.first(frac).alias("_f")
-    )
-    exact = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")
-    return points.groupBy(*by, F.col("_n").alias("n")).agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("_p", exact.alias("_q")))), lambda x: x["_q"]
-        ).alias("q")
-    )
+    near = F.struct(F.col("_ask._p").alias("p"), F.col("_v").alias("v"), frac.alias("f"))
+    points = hits.groupBy("_group", *by, F.col("_n").alias("n")).agg(F.collect_set(near).alias("_near"))
+
+    def between(p: float):
+        own = F.filter("_near", lambda x: x["p"] == F.lit(float(p)))
+        lo, hi = F.array_min(F.transform(own, lambda x: x["v"])), F.array_max(F.transform(own, lambda x: x["v"]))
+        return lo + (hi - lo) * own[0]["f"]
+
+    return points.select(*by, "n", F.array(*[between(p) for p in sorted(set(probs))]).alias("q"))
 
 
 def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:

@@ -12,7 +12,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -91,10 +90,17 @@ def default_bucket(s: Series) -> Column:
 
 def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     """Join on columns where NULL equals NULL, as in groups and windows."""
-    names = {c: f"_on_{k}" for k, c in enumerate(on)}
-    keyed = right.withColumnsRenamed(names)
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()], F.lit(True))
-    return left.join(keyed, same, how).drop(*names.values())
+    keyed = right.select(cell(*on).alias("_cell"), *[F.col(c) for c in right.columns if c not in on])
+    return left.withColumn("_cell", cell(*on)).join(keyed, "_cell", how).drop("_cell")
+
+
+def cell(*parts: str | Column) -> Column:
+    """Keys as one value that is never NULL itself.
+
+    Windows, groups and joins on it keep NULL keys together and share one layout:
+    a join on nullable columns would need an order of its own.
+    """
+    return F.struct(*[(F.col(x) if isinstance(x, str) else x).alias(f"k{i}") for i, x in enumerate(parts)])
 
 
 def positions(df: DataFrame, s: Series = BARS, bucket: Column | None = None) -> DataFrame:
@@ -104,21 +110,15 @@ def positions(df: DataFrame, s: Series = BARS, bucket: Column | None = None) ->
     slot); rows themselves are numbered inside ``(symbol, slot)``.
     """
     slot = bucket if bucket is not None else default_bucket(s)
-    rows = df.withColumn("_slot", slot)
-    starts = (
-        rows.groupBy(*s.keys, "_slot")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(
-            *s.keys,
-            "_slot",
-            (F.sum("_n").over(s.whole.orderBy("_slot")) - F.col("_n")).alias("_start"),
-        )
-    )
-    inside = Window.partitionBy(*s.keys, "_slot").orderBy(*s.order)
+    rows = df.withColumn("_cell", cell(*s.keys, slot))
+    series, place = [F.col(f"_cell.k{i}") for i in range(len(s.keys))], F.col(f"_cell.k{len(s.keys)}")
+    starts = rows.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_cell", (F.sum("_n").over(Window.partitionBy(*series).orderBy(place)) - F.col("_n")).alias("_start"))
+    inside = Window.partitionBy("_cell").orderBy(*s.order)
     return (
-        null_safe_join(rows.withColumn("_rn", F.row_number().over(inside)), starts, [*s.keys, "_slot"])
+        rows.withColumn("_rn", F.row_number().over(inside)).join(starts, "_cell")
         .withColumn("_pos", F.col("_start") + F.col("_rn") - 1)
-        .drop("_slot", "_rn", "_start")
+        .select(*df.columns, "_pos")
     )
 
 
@@ -183,8 +183,8 @@ def with_stats(
     """
     if fits_one_task(frequency):
         return df.withColumns({n: a.over(s.whole) for n, a in stats.items()})
-    grouped = df.groupBy(*s.keys).agg(*[a.alias(n) for n, a in stats.items()])
-    return null_safe_join(df, grouped, s.keys)
+    rows = df.withColumn("_cell", cell(*s.keys))
+    return rows.join(rows.groupBy("_cell").agg(*[a.alias(n) for n, a in stats.items()]), "_cell").drop("_cell")
 
 
 def running_sums(
@@ -199,27 +199,14 @@ def running_sums(
         return df.withColumns({n: F.sum(c).over(s.running) for n, c in sums.items()})
     names = list(sums)
     slot = bucket if bucket is not None else default_bucket(s)
-    rows = df.withColumns({"_slot": slot, **{f"_x_{n}": c for n, c in sums.items()}})
-    totals = rows.groupBy(*s.keys, "_slot").agg(
-        *[F.sum(f"_x_{n}").alias(f"_t_{n}") for n in names]
-    )
-    earlier = s.whole.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(
-        *s.keys, "_slot", *[F.sum(f"_t_{n}").over(earlier).alias(f"_c_{n}") for n in names]
-    )
-    inside = (
-        Window.partitionBy(*s.keys, "_slot")
-        .orderBy(*s.order)
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
+    rows = df.withColumns({"_cell": cell(*s.keys, slot), **{f"_x_{n}": c for n, c in sums.items()}})
+    series, place = [F.col(f"_cell.k{i}") for i in range(len(s.keys))], F.col(f"_cell.k{len(s.keys)}")
+    totals = rows.groupBy("_cell").agg(*[F.sum(f"_x_{n}").alias(f"_t_{n}") for n in names])
+    earlier = Window.partitionBy(*series).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.select("_cell", *[F.sum(f"_t_{n}").over(earlier).alias(f"_c_{n}") for n in names])
+    inside = Window.partitionBy("_cell").orderBy(*s.order).rowsBetween(Window.unboundedPreceding, 0)
     local = rows.withColumns({f"_l_{n}": F.sum(f"_x_{n}").over(inside) for n in names})
-    joined = null_safe_join(local, carry, [*s.keys, "_slot"])
-    out = joined.withColumns(
-        {
-            n: F.coalesce(
-                F.col(f"_l_{n}") + F.col(f"_c_{n}"), F.col(f"_l_{n}"), F.col(f"_c_{n}")
-            )
-            for n in names
-        }
-    )
-    return out.drop("_slot", *[f"_{k}_{n}" for k in "xlc" for n in names])
+    out = local.join(carry, "_cell").withColumns({
+        n: F.coalesce(F.col(f"_l_{n}") + F.col(f"_c_{n}"), F.col(f"_l_{n}"), F.col(f"_c_{n}")) for n in names
+    })
+    return out.drop("_cell", *[f"_{k}_{n}" for k in "xlc" for n in names])
