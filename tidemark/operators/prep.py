@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.frames import corr, div, pct_change, snap
 from tidemark.operators import indicators as ind
+from tidemark.plans.gram import pair_corr
 from tidemark.plans.quantile import column_quantiles, unpivot
 from tidemark.plans.series import BARS, Series
 from tidemark.sources.storage import stage
@@ -136,28 +137,27 @@ def top_features(df: DataFrame, features: Sequence[str], target: str, k: int) ->
 
 
 def feature_profile(df: DataFrame, features: Sequence[str], target: str | None) -> DataFrame:
-    """One row per feature: share missing, variance, largest correlation with
-    an earlier feature, correlation with the target.  One pass over the data."""
-    d = {x: c(x).cast("double") for x in features}
+    """One row per feature: share missing, variance, correlations with earlier
+    features, correlation with the target.  Pairs come from one product of the
+    rows with themselves, so the plan does not grow with their number."""
     n = F.count(F.lit(1))
-    aggs = [n.alias("n")]
-    for x in features:
-        aggs += [F.count(x).alias(f"n_{x}"), F.var_samp(d[x]).alias(f"v_{x}")]
-        if target:
-            aggs.append(corr(d[x], c(target).cast("double")).alias(f"t_{x}"))
-    for j, y in enumerate(features):
-        aggs += [corr(d[x], d[y]).alias(f"c_{x}__{y}") for x in features[:j]]
-    one = df.agg(*aggs)
-    structs = []
-    for j, y in enumerate(features):
-        earlier = [F.struct(F.lit(x).alias("feature"), F.abs(f"c_{x}__{y}").alias("corr")) for x in features[:j]]
-        structs.append(F.struct(
-            F.lit(j).alias("position"), F.lit(y).alias("feature"),
-            (1 - div(c(f"n_{y}"), c("n"))).alias("missing_ratio"), c(f"v_{y}").alias("variance"),
-            (c(f"t_{y}") if target else F.lit(None).cast("double")).alias("target_corr"),
-            (F.array(*earlier) if earlier else F.array().cast("array<struct<feature:string,corr:double>>")).alias("earlier"),
-        ))
-    return _rows_of(one, structs)
+    one = df.agg(n.alias("n"), *[
+        F.struct(F.count(x).alias("n"), F.var_samp(c(x).cast("double")).alias("v")).alias(f"f_{x}") for x in features])
+    base = _rows_of(one, [
+        F.struct(F.lit(k).alias("position"), F.lit(x).alias("feature"), (1 - div(c(f"f_{x}.n"), c("n"))).alias("missing_ratio"), c(f"f_{x}.v").alias("variance"))
+        for k, x in enumerate(features)])
+    # the target stands before all features: its pairs have j = 0
+    columns, first = ([target, *features], 1) if target else (list(features), 0)
+    pairs = pair_corr(df, columns).select((c("i") - first).alias("position"), (c("j") - first).alias("other"), "corr")
+    names = F.array(*[F.lit(x) for x in features])
+    by_feature = pairs.groupBy("position").agg(
+        F.max(F.when(c("other") < 0, c("corr"))).alias("target_corr"),
+        F.array_sort(F.collect_list(F.when(c("other") >= 0, F.struct("other", F.abs("corr").alias("corr"))))).alias("_near"),
+    )
+    earlier = F.transform("_near", lambda e: F.struct(names[e["other"]].alias("feature"), e["corr"].alias("corr")))
+    return base.join(by_feature, "position", "left").select(
+        "position", "feature", "missing_ratio", "variance", "target_corr",
+        F.coalesce(earlier, F.array().cast("array<struct<feature:string,corr:double>>")).alias("earlier"))
 
 
 def select_features(
@@ -231,14 +231,13 @@ def feature_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def validate_features(df: DataFrame, features: Sequence[str], skew_limit: float = 3.0, corr_limit: float = 0.95) -> DataFrame:
-    """One row of totals and lists; two aggregations over the table.
+    """One row of totals and lists; three aggregations over the table.
 
-    Duplicates come from grouping whole rows with a count, skew and pairs from
-    one wide aggregation.
+    Duplicates come from grouping whole rows with a count, skew from one wide
+    aggregation, pairs from one product of the rows with themselves.
     """
     kinds = dict(df.dtypes)
     d = {x: c(x).cast("double") for x in features}
-    pairs = [(x, y) for j, y in enumerate(features) for x in features[:j]]
     n = F.count(F.lit(1))
     aggs = [n.alias("rows")]
     for x in features:
@@ -249,7 +248,6 @@ def validate_features(df: DataFrame, features: Sequence[str], skew_limit: float
             F.min(d[x]).alias(f"lo_{x}"), F.max(d[x]).alias(f"hi_{x}"),
             F.when(m > 2, F.skewness(d[x]) * F.sqrt(m * (m - 1)) / (m - 2)).alias(f"s_{x}"),
         ]
-    aggs += [corr(d[x], d[y]).alias(f"c_{x}__{y}") for x, y in pairs]
     one = df.agg(*aggs)
 
     def names(tests: dict[str, Column]) -> Column:
@@ -257,7 +255,10 @@ def validate_features(df: DataFrame, features: Sequence[str], skew_limit: float
 
     constant = names({x: F.coalesce(c(f"lo_{x}") == c(f"hi_{x}"), F.lit(True)) for x in features})
     skewed = names({x: snap(F.abs(f"s_{x}")) > skew_limit for x in features})
-    tied = names({f"{x}~{y}": snap(F.abs(f"c_{x}__{y}")) > corr_limit for x, y in pairs})
+    called = F.array(*[F.lit(x) for x in features])
+    near = pair_corr(df, features).filter(snap(F.abs("corr")) > corr_limit)
+    tied = near.agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("i", "j"))), lambda p: F.concat_ws("~", called[p["j"]], called[p["i"]])), ",")).scalar()
     repeated = df.groupBy(*df.columns).agg((n - 1).alias("_d")).agg(F.sum("_d")).scalar()
     numeric = sum(k in ("int", "bigint", "double", "float") for k in kinds.values())
 
@@ -271,7 +272,7 @@ def validate_features(df: DataFrame, features: Sequence[str], skew_limit: float
         F.lit(len(kinds)).alias("total_features"), F.lit(numeric).alias("numeric_features"),
         c("rows").alias("total_rows"), total("m").alias("missing_values"), total("i").alias("infinite_values"),
         repeated.alias("duplicate_rows"), F.array_join(constant, ",").alias("constant_features"),
-        F.array_join(skewed, ",").alias("skewed_features"), F.array_join(tied, ",").alias("correlated_pairs"),
+        F.array_join(skewed, ",").alias("skewed_features"), tied.alias("correlated_pairs"),
     )
 
 
