@@ -48,7 +48,13 @@ def _check_format(fmt: str) -> str:
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet", predicate: str | None = None, schema=None) -> DataFrame:
     """A table by path; the predicate prunes partitions and row groups."""
+    from tidemark.sources import snapshots
+
     reader = spark.read.format(_check_format(fmt))
+    pointed = snapshots.entries(spark, path)
+    if pointed is not None:
+        df = snapshots.read_entries(spark, path, pointed, fmt)
+        return df.filter(F.expr(predicate)) if predicate else df
     if schema is not None:
         reader = reader.schema(schema)
     if fmt == "csv":
@@ -94,25 +100,18 @@ def upsert_rows(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> Da
 def upsert_by_key(
     spark: SparkSession, source: DataFrame, path: str, keys: Sequence[str], partition_by: Sequence[str] = (), fmt: str = "parquet"
 ) -> None:
-    """Update matched, insert new, create if absent.
+    """Update matched, insert new, create if absent; a failed job leaves the table as it was.
 
-    Only partitions the source touches are rewritten (dynamic overwrite), and
-    only those are read: the touched partition values come as a semi-join the
-    scan prunes with.
+    Only partitions the source touches are rewritten, and only those are read: the
+    touched partition values come as a semi-join the scan prunes with. A key that
+    stands twice in the source is refused.
     """
-    if not table_exists(spark, path):
-        write_table(source, path, partition_by, "overwrite", fmt)
-        return
-    target = read_table(spark, path, fmt)
-    if partition_by:
-        if any(p not in source.columns for p in partition_by):
-            source = with_date_parts(source).select(*target.columns)
-        touched = source.select(*partition_by).distinct()
-        target = target.join(touched, list(partition_by), "left_semi")
-    # the table read is also the table written: the merged rows are staged first
-    merged = stage(upsert_rows(target, source.select(*target.columns), keys), "upsert")
-    writer = merged.write.format(fmt).mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    (writer.partitionBy(*partition_by) if partition_by else writer).save(path)
+    from tidemark.sources import snapshots
+
+    if any(p not in source.columns for p in partition_by):
+        parts = with_date_parts(source)
+        source = parts.select(*source.columns, *[p for p in partition_by if p not in source.columns])
+    snapshots.upsert(spark, source, path, keys, partition_by, _check_format(fmt))
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
@@ -122,9 +121,10 @@ def table_exists(spark: SparkSession, path: str) -> bool:
 
 
 def compact_table(spark: SparkSession, path: str, partition_by: Sequence[str] = (), fmt: str = "parquet") -> None:
-    """Rewrite small files; adaptive rebalancing sizes the new ones."""
-    whole = stage(read_table(spark, path, fmt), "compact")
-    write_table(whole, path, partition_by, "overwrite", fmt)
+    """Rewrite the partitions of many small files; adaptive rebalancing sizes the new ones."""
+    from tidemark.sources import snapshots
+
+    snapshots.compact(spark, path, partition_by, _check_format(fmt))
 
 
 def file_listing(df: DataFrame) -> DataFrame:
