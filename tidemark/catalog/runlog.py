@@ -185,13 +185,31 @@ FROM (SELECT k, n, hit, hit / NULLIF(called, 0)::DOUBLE AS prec, hit / n::DOUBLE
 """, "accuracy precision recall f1 roc_auc log_loss")
 
 
+PREPARED = ["sma", "volatility", "volume", "open", "close"]
+
+
 def prepared(t):
-    a, b = m.split_time(labelled(t))
-    x, y, _ = m.model_prepare(a, b, FEATURES, ["symbol"])
-    keep = [F.lit(0).alias("part")], [F.lit(1).alias("part")]
-    from pyspark.ml.functions import vector_to_array
-    return x.select("symbol", "date", *keep[0], vector_to_array("features").alias("f"), "target").unionByName(
-        y.select("symbol", "date", *keep[1], vector_to_array("features").alias("f"), "target"))
+    # moving means are missing at the start of a series, labels at its end
+    return m.training_set(train(t), ["symbol", "date"], PREPARED, "target", ["symbol"])
+
+
+def scaled(x: str) -> str:
+    return f"(coalesce(r.{x}, s.m_{x}) - s.m_{x}) / CASE WHEN s.s_{x} = 0 THEN 1 ELSE s.s_{x} END AS x_{x}"
+
+
+PREPARED_SQL = f"""
+WITH filled AS (
+  SELECT symbol, date, {', '.join(f'CAST({x} AS DOUBLE) AS {x}' for x in PREPARED)},
+         coalesce(target, (SELECT target FROM train_rows WHERE target IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, target LIMIT 1)) AS target FROM train_rows),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY target ORDER BY sha256('42|' || symbol || '|' || CAST(date AS VARCHAR)), symbol, date) - 1
+            < floor(count(*) OVER (PARTITION BY target) * 0.8::DOUBLE + 0.5::DOUBLE) AS is_train FROM filled),
+codes AS (SELECT symbol AS value, row_number() OVER (ORDER BY symbol) - 1 AS code FROM (SELECT DISTINCT symbol FROM placed WHERE is_train)),
+coded AS (SELECT p.*, CAST(coalesce(k.code, (SELECT count(*) FROM codes)) AS DOUBLE) AS symbol_code FROM placed p LEFT JOIN codes k ON k.value = p.symbol),
+stats AS (SELECT {', '.join(f'avg({x}) AS m_{x}, sqrt(var_pop({x}) * count({x}) / count(*)) AS s_{x}' for x in [*PREPARED, 'symbol_code'])} FROM coded WHERE is_train)
+SELECT symbol, date, CASE WHEN is_train THEN 'train' ELSE 'test' END AS part, target, {', '.join(scaled(x) for x in [*PREPARED, 'symbol_code'])}
+FROM coded r, stats s
+"""
 
 
 def fitted(t, name="random_forest"):
@@ -222,7 +240,7 @@ def importance(t):
     return m.model_importance(model, FEATURES, a)
 
 
-register("model_prepare", prepared)
+register("model_prepare", prepared, PREPARED_SQL, " ".join(f"x_{x}" for x in [*PREPARED, "symbol_code"]))
 register("model_train", trained)
 register("model_compare", lambda t: m.model_compare(*m.split_time(labelled(t)), FEATURES, "target"))
 register("model_regress", regress)

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from tidemark.catalog.core import cte, register
 from tidemark.functions.frames import div
 from tidemark.sources import ingest as g
+from tidemark.sources import snapshots
 from tidemark.sources import storage as s
-from tidemark.streaming import ordered
+from tidemark.streaming import ordered, pacing
 from tidemark.streaming import replay as r
 
 c = F.col
@@ -157,6 +158,28 @@ register("multi_resource_load", resources, """
 SELECT symbol, date, CASE WHEN symbol < 'N15' THEN close ELSE close + 1 END AS close, CASE WHEN symbol < 'N15' THEN 'primary' ELSE 'backup' END AS source FROM bars_w
 """, "close")
 
+
+
+def resource_sources(t):
+    """The most preferred source can't be read, the second breaks on a row while it is read."""
+    torn = c("close") + F.when(c("symbol") == "N11", F.raise_error(F.lit("torn row"))).otherwise(0.0)
+    return g.load_resources(t.spark, {"stock_price": {
+        "missing": lambda: s.read_table(t.spark, s.scratch_dir(t.spark, "nowhere")),
+        "torn": lambda: t.bars_w.select("symbol", "date", torn.alias("close")),
+        "primary": lambda: t.bars_w.filter("symbol < 'N15'").select("symbol", "date", "close"),
+        "backup": lambda: t.bars_w.filter("symbol >= 'N10'").select("symbol", "date", (c("close") + 1).alias("close")),
+    }}, required=["stock_price"])
+
+
+register("resource_fallback", lambda t: resource_sources(t)[0]["stock_price"], """
+SELECT symbol, date, CASE WHEN symbol < 'N15' THEN close ELSE close + 1 END AS close, CASE WHEN symbol < 'N15' THEN 'primary' ELSE 'backup' END AS source FROM bars_w
+""", "close")
+register("resource_report", lambda t: resource_sources(t)[1].select("resource", "source", "place", "status", "rows"), """
+SELECT 'stock_price' AS resource, source, place, status, rows FROM (
+  SELECT 'missing' AS source, 0 AS place, 'failed' AS status, NULL::BIGINT AS rows UNION ALL SELECT 'torn', 1, 'failed', NULL
+  UNION ALL SELECT 'primary', 2, 'loaded', count(*) FROM bars_w WHERE symbol < 'N15' UNION ALL SELECT 'backup', 3, 'loaded', count(*) FROM bars_w WHERE symbol >= 'N10')
+""")
+
 # -- universes ----------------------------------------------------------------------
 
 
@@ -172,6 +195,15 @@ def universe_doc(t):
 cte("universe", "SELECT lower(r_name) AS list_name, r_name AS name, 'N' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS symbol FROM nation JOIN region ON n_regionkey = r_regionkey")
 register("universe_explode", lambda t: g.universe_explode(universe_doc(t)), "SELECT * FROM universe")
 register("universe_lists", lambda t: g.universe_lists(g.universe_explode(universe_doc(t))), "SELECT list_name, name, count(*) AS symbols FROM universe GROUP BY 1, 2")
+
+
+def recommended(t):
+    case = t.read("region").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("trade_"), F.lower("r_name")), F.lower("r_name"))))).alias("cases"))
+    doc = universe_doc(t).crossJoin(case).select(F.concat(F.lit('{"symbols":'), "doc", F.lit(',"recommendations":'), "cases", F.lit("}")).alias("doc"))
+    return g.universe_for(doc, "trade_europe")
+
+
+register("universe_for", recommended, "SELECT * FROM universe WHERE list_name = 'europe'")
 register("universe_filter", lambda t: g.universe_filter(t.bars_w, g.universe_explode(universe_doc(t)), "asia"),
          "SELECT * FROM bars_w WHERE symbol IN (SELECT symbol FROM universe WHERE list_name = 'asia')")
 register("symbol_validate", lambda t: g.symbol_validate(t.read("part").select("p_partkey", c("p_type").alias("symbol")).unionByName(
@@ -180,9 +212,9 @@ SELECT *, CASE WHEN is_valid THEN upper(trim(symbol)) END AS clean_symbol FROM (
   SELECT *, regexp_full_match(upper(trim(symbol)), '[A-Z0-9.-]{1,10}') AND regexp_matches(upper(trim(symbol)), '[A-Z0-9]') AS is_valid FROM (
    SELECT p_partkey, p_type AS symbol FROM part UNION ALL SELECT p_partkey, ' ' || lower(p_brand) || ' ' FROM part))
 """)
-register("symbol_validation_summary", lambda t: g.symbol_validation_summary(g.symbol_validate(t.read("customer").select(F.substring("c_name", 10, 5).alias("symbol")))), """
+register("symbol_validation_summary", lambda t: g.symbol_validation_summary(g.symbol_validate(t.read("customer").select(F.replace("c_name", F.lit("Customer#"), F.lit("C")).alias("symbol")))), """
 SELECT *, invalid_count = 0 AND total_symbols > 0 AS valid FROM (SELECT count(*) AS total_symbols, count(*) FILTER (ok) AS valid_count, count(*) FILTER (NOT ok) AS invalid_count
-FROM (SELECT regexp_full_match(upper(trim(substr(c_name, 10, 5))), '[A-Z0-9.-]{1,10}') AND regexp_matches(upper(trim(substr(c_name, 10, 5))), '[A-Z0-9]') AS ok FROM customer))
+FROM (SELECT regexp_full_match(upper(trim(replace(c_name, 'Customer#', 'C'))), '[A-Z0-9.-]{1,10}') AND regexp_matches(upper(trim(replace(c_name, 'Customer#', 'C'))), '[A-Z0-9]') AS ok FROM customer))
 """)
 register("custom_list", lambda t: g.custom_list(t.bars_w.select(F.lower("symbol").alias("symbol")), "mine"), "SELECT DISTINCT 'mine' AS list_name, symbol FROM bars_w")
 register("ingest_list", lambda t: g.ingest_list(
@@ -191,6 +223,17 @@ SELECT count(*) AS total_rows, count(DISTINCT symbol) AS symbols_fetched, coales
 FROM bars_w WHERE symbol IN (SELECT symbol FROM universe WHERE list_name = 'asia')
 """)
 
+
+
+def expired(t):
+    """Bars of the years before 1998 go, their folders with them."""
+    path = landed(t, "expiring", parts=("year",))
+    snapshots.remove_expired(t.spark, path, "year", "1998", dry_run=False)
+    return s.read_table(t.spark, path)
+
+
+register("retention_remove", expired, "SELECT *, CAST(year(date) AS INTEGER) AS year FROM bars_w WHERE year(date) >= 1998")
+
 # -- replay and streams ----------------------------------------------------------------
 register("replay_load", lambda t: r.replay_load(t.bars_w, ["N02", "N11"], "1997-01-01", "2000-12-31"),
          "SELECT *, date AS replay_timestamp, date AS original_date FROM bars_w WHERE symbol IN ('N02', 'N11') AND date BETWEEN DATE '1997-01-01' AND DATE '2000-12-31'")
@@ -215,6 +258,24 @@ def replay_stream(t):
 register("replay_stream", replay_stream, "SELECT replay_batch, count(*) AS messages, CAST(sum(volume) AS BIGINT) AS volume FROM numbered GROUP BY 1")
 
 
+def replay_progress(t):
+    """A paced replay, a few landed files a trigger; what its progress table adds up to."""
+    src = s.scratch_dir(t.spark, "messages")
+    r.land_messages(r.replay_envelope(t.bars_w), src)
+    total = t.spark.read.text(src).count()
+    out, ck = streamed(t, "paced")
+    every = pacing.trigger_seconds(total, 8, 3, total)
+    progress = pacing.replay_paced(r.stream_parse(r.message_stream(t.spark, src, files_per_trigger=3)), out, ck, every, "paced_replay", total)
+    sums = progress.agg(F.sum("rows").alias("rows"), F.min("rows_left").alias("rows_left"), (F.count(F.lit(1)) > 1).alias("several_triggers"),
+                        F.coalesce(F.min("behind_seconds") >= 0, F.lit(False)).alias("delay_known"))
+    return sums.withColumn("stored", s.read_table(t.spark, out).agg(F.count(F.lit(1))).scalar())
+
+
+register("replay_progress", replay_progress, """
+SELECT CAST(count(*) AS BIGINT) AS rows, CAST(0 AS BIGINT) AS rows_left, true AS several_triggers, true AS delay_known, count(*) AS stored FROM bars_w
+""")
+
+
 def stream_parse(t):
     src = s.scratch_dir(t.spark, "messages")
     r.land_messages(r.replay_envelope(t.bars_w), src)

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.frames import div, snap
 from tidemark.plans.quantile import cumulative, exact_quantiles, sliced
+from tidemark.plans.series import Series, positions, with_stats
+from tidemark.sources.storage import stage
 
 c = F.col
 
@@ -43,10 +45,22 @@ def split_time(df: DataFrame, share: float = 0.8, time: str = "date") -> tuple[D
     return marked.filter("_train").drop("_train"), marked.filter("NOT _train").drop("_train")
 
 
-def split_stratified(df: DataFrame, key: str, label: str, share: float = 0.8, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Seeded hash split; hashing is uniform within each label."""
-    h = F.pmod(F.xxhash64(c(key).cast("string"), c(label).cast("string"), F.lit(seed)), F.lit(10_000))
-    return df.filter(h < int(share * 10_000)), df.filter(h >= int(share * 10_000))
+def mark_stratified(df: DataFrame, keys: Sequence[str], label: str, share: float = 0.8, seed: int = 42) -> DataFrame:
+    """Add ``_train``: of each label's rows exactly ``share`` of them, rounded, in the order of a seeded hash.
+
+    Places are counted by ranges of the hash, so a label of most rows is many tasks.
+    NULL is a label of its own.
+    """
+    digest = F.sha2(F.concat_ws("|", F.lit(str(seed)), *[c(k).cast("string") for k in keys]), 256)
+    placed = positions(df.withColumn("_h", digest), Series((label,), ("_h", *keys)), F.substring("_h", 1, 3))
+    counted = with_stats(placed, {"_of": F.count(F.lit(1))}, Series((label,), ("_h",)))
+    return counted.withColumn("_train", c("_pos") < F.floor(c("_of") * share + 0.5)).drop("_h", "_pos", "_of")
+
+
+def split_stratified(df: DataFrame, keys: Sequence[str], label: str, share: float = 0.8, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Training and test rows with the same shares of each label, to the row."""
+    marked = stage(mark_stratified(df, keys, label, share, seed), "split")
+    return marked.filter("_train").drop("_train"), marked.filter("NOT _train").drop("_train")
 
 
 def fill_modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -78,6 +92,38 @@ def model_prepare(train: DataFrame, test: DataFrame, features: Sequence[str], ca
     return fitted.transform(train), fitted.transform(test), fitted
 
 
+def training_set(
+    df: DataFrame, keys: Sequence[str], features: Sequence[str], label: str, categories: Sequence[str] = (),
+    share: float = 0.8, seed: int = 42,
+) -> DataFrame:
+    """``keys, part, label`` and the prepared features: ready for any estimator.
+
+    A missing label is the most frequent one. Rows are split by label to the row.
+    With the statistics of the training part alone, missing features become the
+    mean, categories their place in alphabetical order (one further place for those
+    unseen or missing), and all are scaled to mean 0 and deviation 1; a constant
+    stays at 0.
+    """
+    whole = stage(mark_stratified(fill_modes(df.select(*dict.fromkeys([*keys, *features, *categories, label])), [label]), keys, label, share, seed), "training")
+    train = whole.filter("_train")
+    for x in categories:
+        seen = train.select(c(x).alias("_value")).filter(c("_value").isNotNull()).distinct()
+        codes = seen.withColumn("_code", F.row_number().over(Window.orderBy("_value")) - 1)
+        unseen = seen.agg(F.count(F.lit(1))).scalar()
+        whole = whole.join(codes, c(x) == c("_value"), "left").withColumn(f"_c_{x}", F.coalesce("_code", unseen).cast("double")).drop("_value", "_code")
+    if categories:
+        whole = stage(whole, "coded")
+    columns = {**{x: c(x).cast("double") for x in features}, **{f"{x}_code": c(f"_c_{x}") for x in categories}}
+    n = F.count(F.lit(1))
+    moments = whole.filter("_train").agg(F.struct(*[
+        F.struct(F.avg(v).alias("m"), F.sqrt(F.var_pop(v) * F.count(v) / n).alias("s")).alias(x) for x, v in columns.items()])).scalar()
+    ready = whole.withColumn("_m", moments)
+    part = F.when(c("_train"), "train").otherwise("test").alias("part")
+    return ready.select(*keys, part, label, *[
+        ((F.coalesce(v, c(f"_m.{x}.m")) - c(f"_m.{x}.m")) / F.when(c(f"_m.{x}.s") == 0, 1.0).otherwise(c(f"_m.{x}.s"))).alias(f"x_{x}")
+        for x, v in columns.items()])
+
+
 def model_train(
     train: DataFrame, features: Sequence[str], label: str, name: str = "random_forest", seed: int = 42,
     categories: Sequence[str] = (), regression: bool = False,

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.frames import div
-from tidemark.sources.storage import read_table, with_date_parts, write_layout
+from tidemark.sources.storage import read_table, stage, with_date_parts, write_layout
 
 c = F.col
 
@@ -70,24 +70,60 @@ def bars_summary(bars: DataFrame) -> DataFrame:
 
 #: The user's extension point: source name -> () -> DataFrame, in order of preference.
 Source = Callable[[], DataFrame]
+REPORT = "resource string, source string, place int, status string, rows bigint, error string"
+
+
+def _merged(loaded: Sequence[tuple[int, str, DataFrame]], keys: Sequence[str]) -> DataFrame:
+    """Rows of all sources, of each key those of the most preferred."""
+    ranked = [df.withColumns({"source": F.lit(label), "_p": F.lit(i)}) for i, label, df in loaded]
+    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), ranked)
+    rest = [x for x in both.columns if x not in (*keys, "_p")]
+    picked = both.groupBy(*keys).agg(F.min_by(F.struct(*rest), c("_p")).alias("_r"))
+    return picked.select(*keys, "_r.*")
+
+
+def load_resources(
+    spark: SparkSession, resources: dict[str, dict[str, Source]], keys: Sequence[str] = ("symbol", "date"), required: Sequence[str] = ()
+) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Each resource from the sources that work, and a report row for every source.
+
+    A source is read and written down before it counts, so one that fails while it is
+    built or read is reported and the next ones stand in for it: of each key the most
+    preferred source that has it wins. A resource without any working source is left
+    out; one of ``required`` is an error that names what failed.
+    """
+    tables, report = {}, []
+    for name, sources in resources.items():
+        loaded = []
+        for place, (label, build) in enumerate(sources.items()):
+            try:
+                df = stage(build(), f"source_{name}_{label}")
+                lost = [k for k in keys if k not in df.columns]
+                if lost:
+                    raise ValueError(f"no column {', '.join(lost)}")
+            except Exception as failure:  # whatever a foreign source raises, the others go on
+                report.append((name, label, place, "failed", None, str(failure).splitlines()[0][:500] if str(failure) else type(failure).__name__))
+                continue
+            loaded.append((place, label, df))
+            report.append((name, label, place, "loaded", df.count(), None))
+        if loaded:
+            tables[name] = _merged(loaded, keys)
+        elif name in required:
+            why = "; ".join(f"{label}: {error}" for resource, label, _, _, _, error in report if resource == name)
+            raise RuntimeError(f"all sources of {name} failed ({why or 'there are none'})")
+    return tables, spark.createDataFrame(report, REPORT)
 
 
 def multi_resource_load(resources: dict[str, dict[str, Source]], keys: Sequence[str] = ("symbol", "date")) -> dict[str, DataFrame]:
     """Each resource from its sources; the first source that has a key wins.
 
     One grouping per resource (the priority rides in ``min_by``), however many
-    sources there are.
+    sources there are. A source that fails ends the load; see ``load_resources``.
     """
-    out = {}
-    for name, sources in resources.items():
-        ranked = [
-            build().withColumns({"source": F.lit(label), "_p": F.lit(i)}) for i, (label, build) in enumerate(sources.items())
-        ]
-        both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), ranked)
-        rest = [x for x in both.columns if x not in (*keys, "_p")]
-        picked = both.groupBy(*keys).agg(F.min_by(F.struct(*rest), c("_p")).alias("_r"))
-        out[name] = picked.select(*keys, "_r.*")
-    return out
+    return {
+        name: _merged([(i, label, build()) for i, (label, build) in enumerate(sources.items())], keys)
+        for name, sources in resources.items()
+    }
 
 
 # -- universes -----------------------------------------------------------------------
@@ -101,6 +137,22 @@ def universe_explode(docs: DataFrame, column: str = "doc") -> DataFrame:
         c("e.key").alias("list_name"), c("e.value.name").alias("name"), F.explode("e.value.symbols").alias("symbol"))
 
 
+def recommended_list(docs: DataFrame, use_case: str, column: str = "doc") -> str:
+    """Name of the list a universe document recommends for a use case; an unknown case is refused."""
+    found = docs.select(F.explode(F.from_json(F.get_json_object(column, "$.recommendations"), "map<string,string>")).alias("case", "list_name"))
+    named = {r["case"]: r["list_name"] for r in found.collect()}
+    if use_case not in named:
+        raise ValueError(f"no list is recommended for {use_case!r}; there are {', '.join(sorted(named)) or 'none'}")
+    return named[use_case]
+
+
+def universe_for(docs: DataFrame, use_case: str, column: str = "doc") -> DataFrame:
+    """Symbols of the list recommended for a use case."""
+    name = recommended_list(docs, use_case, column)
+    lists = docs.select(F.get_json_object(column, "$.symbols").alias(column))
+    return universe_explode(lists, column).filter(c("list_name") == name)
+
+
 def universe_lists(exploded: DataFrame) -> DataFrame:
     return exploded.groupBy("list_name", "name").agg(F.count(F.lit(1)).alias("symbols"))
 
