@@ -277,3 +277,26 @@ def test_runs_in_slots_equal_runs_of_the_whole(spark):
     for width in (1, 7, 50, 1000):
         got = run_lengths(df, F.col("flag"), Series(order=("at",)), F.floor(F.col("at") / width))
         assert sorted(repr(tuple(r)) for r in got.select("symbol", "_flag", "_n").collect()) == want, width
+
+
+@pytest.mark.parametrize(("method", "limit"), [("forward_fill", None), ("backward_fill", None), ("forward_fill", 2), ("backward_fill", 3)])
+def test_fills_of_long_series_equal_those_of_short_ones(spark, method, limit):
+    from tidemark.operators import prep
+
+    rng = np.random.default_rng(9)
+    # gaps of many days cross slots; a slot is a day of up to eight rows
+    data = [(k, pd.Timestamp("2024-01-01") + pd.Timedelta(hours=3 * i), None if rng.random() < (0.98 if 80 < i < 160 else 0.4) else float(i), None if i % 3 else i)
+            for k in ("a", "b", None) for i in range(240)]
+    df = spark.createDataFrame([(k, t.to_pydatetime(), x, y) for k, t, x, y in data], "symbol string, date timestamp, x double, y int").repartition(4)
+    whole, slots = (prep.fill_missing(df, ["x", "y"], method, limit, frequency=f) for f in ("1week", None))
+    assert rows(whole) == rows(slots) and slots.columns == df.columns
+
+
+def test_entity_stats_of_long_series_equal_those_of_short_ones(daily):
+    from tidemark.operators import prep
+
+    whole, blocks = (prep.entity_stats(daily, frequency=f) for f in ("1week", None))
+    assert whole.columns == blocks.columns
+    pairs = zip(whole.orderBy("symbol").collect(), blocks.orderBy("symbol").collect(), strict=True)
+    for a, b in pairs:
+        assert a["symbol"] == b["symbol"] and list(a[1:]) == pytest.approx(list(b[1:]), rel=1e-6, abs=1e-9)

@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from tidemark.functions.frames import corr, div, pct_change, snap
 from tidemark.operators import indicators as ind
 from tidemark.plans.gram import pair_corr
-from tidemark.plans.quantile import column_quantiles, unpivot
-from tidemark.plans.series import BARS, Series
+from tidemark.plans.quantile import column_quantiles, exact_quantiles, unpivot
+from tidemark.plans.series import (
+    BARS, Series, cell, default_bucket, fits_one_task, in_blocks, null_safe_join, positions, with_stats,
+)
 from tidemark.sources.storage import stage
 
 c = F.col
@@ -28,13 +30,49 @@ def _as_map(stats: DataFrame, value: str = "q") -> Column:
     return stats.agg(F.map_from_entries(F.collect_list(F.struct("column", value)))).scalar()
 
 
+def carried(df: DataFrame, columns: Sequence[str], s: Series = BARS, backward: bool = False) -> DataFrame:
+    """The last (or next) known value of each column, for series of any length.
+
+    Values are carried inside ``(keys, slot)``; of each slot one value a column goes on
+    to the following ones.
+    """
+    rows = df.withColumn("_cell", cell(*s.keys, default_bucket(s)))
+    at, place = F.struct(*s.order), c(f"_cell.k{len(s.keys)}")
+    pick = F.min_by if backward else F.max_by
+    edges = rows.groupBy("_cell").agg(*[pick(x, F.when(c(x).isNotNull(), at)).alias(f"_e_{x}") for x in columns])
+
+    def way(x: Column) -> Column:
+        return x.desc() if backward else x.asc()
+
+    along = Window.partitionBy(*[f"_cell.k{i}" for i in range(len(s.keys))]).orderBy(way(place)).rowsBetween(Window.unboundedPreceding, -1)
+    before = edges.select("_cell", *[F.last(f"_e_{x}", ignorenulls=True).over(along).alias(f"_b_{x}") for x in columns])
+    inside = Window.partitionBy("_cell").orderBy(*[way(c(o)) for o in s.order]).rowsBetween(Window.unboundedPreceding, 0)
+    own = rows.withColumns({x: F.last(x, ignorenulls=True).over(inside) for x in columns})
+    return own.join(before, "_cell").withColumns({x: F.coalesce(x, f"_b_{x}") for x in columns}).select(*df.columns)
+
+
 def fill_missing(
     df: DataFrame, columns: Sequence[str], method: str = "forward_fill", limit: int | None = None,
-    s: Series = BARS,
+    s: Series = BARS, frequency: str | None = "1week",
 ) -> DataFrame:
+    """Missing values from neighbours, from the column, or the rows without them.
+
+    Series not known to be short (``frequency=None``) are filled slot by slot.
+    """
     if method in ("forward_fill", "backward_fill"):
+        backward = method == "backward_fill"
+        if not fits_one_task(frequency):
+            if not limit:
+                return carried(df, columns, s, backward)
+
+            def near(rows: DataFrame, x: Series) -> DataFrame:
+                w = x.ordered.rowsBetween(0, limit) if backward else x.ordered.rowsBetween(-limit, 0)
+                take = F.first if backward else F.last
+                return rows.withColumns({n: take(n, ignorenulls=True).over(w) for n in columns})
+
+            return in_blocks(df, near, 0 if backward else limit, limit if backward else 0, s)
         # a backward fill is a forward fill in reversed order: a running frame
-        order = [c(o).desc() if method == "backward_fill" else c(o).asc() for o in s.order]
+        order = [c(o).desc() if backward else c(o).asc() for o in s.order]
         w = s.whole.orderBy(*order)
         w = w.rowsBetween(-limit, 0) if limit else w.rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({x: F.last(x, ignorenulls=True).over(w) for x in columns})
@@ -277,16 +315,26 @@ def validate_features(df: DataFrame, features: Sequence[str], skew_limit: float
 
 
 # -- generated features ---------------------------------------------------------------
-def entity_stats(bars: DataFrame, column: str = "close", s: Series = BARS) -> DataFrame:
-    """A fixed list of series statistics per symbol."""
+def entity_stats(bars: DataFrame, column: str = "close", s: Series = BARS, frequency: str | None = "1week") -> DataFrame:
+    """A fixed list of series statistics per symbol.
+
+    For series not known to be short (``frequency=None``) places and the value before
+    come block by block, and the median from counted values.
+    """
     x = c(column)
-    shaped = bars.withColumns({
-        "_lag": F.lag(x).over(s.ordered), "_n": F.row_number().over(s.ordered), "_mean": F.avg(x).over(s.whole),
-    })
+    if fits_one_task(frequency):
+        shaped = bars.withColumns({
+            "_lag": F.lag(x).over(s.ordered), "_n": F.row_number().over(s.ordered), "_mean": F.avg(x).over(s.whole),
+        })
+        median = [F.percentile(x, F.lit(0.5)).alias("median")]
+    else:
+        lagged = in_blocks(bars, lambda rows, b: rows.withColumn("_lag", F.lag(x).over(b.ordered)), 1, s=s)
+        shaped = with_stats(positions(lagged, s).withColumn("_n", c("_pos") + 1), {"_mean": F.avg(x)}, s)
+        median = []
     n = F.count(x).cast("double")
-    return shaped.groupBy(*s.keys).agg(
+    stats = shaped.groupBy(*s.keys).agg(
         F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"),
-        F.percentile(x, F.lit(0.5)).alias("median"),
+        *median,
         F.when(n > 2, F.skewness(x) * F.sqrt(n * (n - 1)) / (n - 2)).alias("skew"),
         F.when(n > 3, (F.kurtosis(x) * (n + 1) + 6) * (n - 1) / ((n - 2) * (n - 3))).alias("kurt"),
         corr(x, "_lag").alias("autocorr_1"), F.sum(x * x).alias("abs_energy"),
@@ -294,6 +342,10 @@ def entity_stats(bars: DataFrame, column: str = "close", s: Series = BARS) -> Da
         F.count_if(snap(x - c("_mean")) > 0).alias("count_above_mean"),
         F.count_if(snap(x - c("_mean")) < 0).alias("count_below_mean"),
     )
+    if median:
+        return stats
+    middle = exact_quantiles(bars, column, [0.5], s.keys).select(*s.keys, c("q")[0].alias("median"))
+    return null_safe_join(stats, middle, s.keys, "left").select(*s.keys, *stats.columns[len(s.keys):len(s.keys) + 4], "median", *stats.columns[len(s.keys) + 4:])
 
 
 def deep_agg_features(levels: Sequence[tuple[DataFrame, str, Sequence[str]]], parents: Sequence[DataFrame]) -> DataFrame:

@@ -104,8 +104,8 @@ def exact_quantiles(
     )
     inside = Window.partitionBy(*place).orderBy("_v")
     hits = (
-        rows.withColumn("_sum", F.sum("_c").over(inside)).join(wanted, place)
-        .withColumn("_end", F.col("_before") + F.col("_sum"))
+        rows.join(wanted, place)
+        .withColumn("_end", F.col("_before") + F.sum("_c").over(inside))
         .withColumn("_ask", F.explode("_ask"))
         .filter(
             (F.col("_ask._r") < F.col("_end"))
