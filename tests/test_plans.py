@@ -300,3 +300,18 @@ def test_entity_stats_of_long_series_equal_those_of_short_ones(daily):
     pairs = zip(whole.orderBy("symbol").collect(), blocks.orderBy("symbol").collect(), strict=True)
     for a, b in pairs:
         assert a["symbol"] == b["symbol"] and list(a[1:]) == pytest.approx(list(b[1:]), rel=1e-6, abs=1e-9)
+
+
+def test_slots_follow_the_densest_symbol(spark):
+    from tidemark.operators import joins
+
+    start = pd.Timestamp("2024-01-01")
+    # a burst of one symbol: 4000 ticks in 40 seconds of one hour
+    ticks = spark.createDataFrame(
+        [("HOT", (start + pd.Timedelta(milliseconds=10 * i)).to_pydatetime(), i, float(i)) for i in range(4000)]
+        + [("b", (start + pd.Timedelta(hours=i)).to_pydatetime(), i, float(i)) for i in range(50)], "symbol string, ts timestamp, event_id long, bid double")
+    signals = ticks.filter("event_id % 7 = 0").withColumn("ts", F.col("ts") + F.expr("INTERVAL 4 MILLISECONDS")).select("symbol", "ts")
+    slot = joins.time_slot(ticks, "symbol", "ts", 200)
+    assert ticks.groupBy("symbol", slot.alias("s")).count().agg(F.max("count")).first()[0] <= 200
+    narrow, wide = (joins.nearest_tick_join(signals, ticks, ["bid"], most) for most in (200, 10**9))
+    assert rows(narrow) == rows(wide) and narrow.count() == signals.count()

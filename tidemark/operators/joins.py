@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.params import TIMEFRAMES
@@ -16,12 +16,31 @@ def asof_fundamentals(bars: DataFrame, reports: DataFrame, columns: list[str]) -
     return asof(bars, reports, "symbol", "date", columns, slot=F.trunc("date", "year"))
 
 
-def nearest_tick_join(signals: DataFrame, ticks: DataFrame, payload: list[str]) -> DataFrame:
-    """The tick closest in time to each signal; the earlier one wins a tie."""
-    both = neighbours(
-        signals, ticks, "symbol", "ts", payload, tie=["event_id"],
-        slot=F.date_trunc("hour", c("ts").cast("timestamp")), following=True,
-    )
+#: rows of one symbol and time slot that a task may hold, and the slots tried, in seconds
+SLOT_ROWS, SLOT_SECONDS = 500_000, (3600, 60, 1, 0.001)
+
+
+def time_slot(rows: DataFrame, key: str, time: str, most: int = SLOT_ROWS) -> Column:
+    """The widest time slot of which no key has more than ``most`` rows, by counting them.
+
+    Ordinary tables are settled by one count by key and hour.
+    """
+    micros = F.unix_micros(c(time).cast("timestamp"))
+    for seconds in SLOT_SECONDS:
+        slot = F.floor(micros / (seconds * 1_000_000))
+        counts = rows.groupBy(key, slot.alias("_slot")).agg(F.count(F.lit(1)).alias("n"))
+        if seconds == SLOT_SECONDS[-1] or (counts.agg(F.max("n")).first()[0] or 0) <= most:
+            return slot
+
+
+def nearest_tick_join(signals: DataFrame, ticks: DataFrame, payload: list[str], most: int = SLOT_ROWS) -> DataFrame:
+    """The tick closest in time to each signal; the earlier one wins a tie.
+
+    Slots are as wide as the ticks of the densest symbol allow, so no task holds more
+    than ``most`` of them; signals are taken to be no denser than ticks.
+    """
+    slot = time_slot(ticks, "symbol", "ts", most)
+    both = neighbours(signals, ticks, "symbol", "ts", payload, tie=["event_id"], slot=slot, following=True)
 
     def gap(side: str):
         a, b = c("ts").cast("timestamp"), c(f"{side}.ts").cast("timestamp")
