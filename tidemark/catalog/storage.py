@@ -162,7 +162,7 @@ SELECT symbol, date, CASE WHEN symbol < 'N15' THEN close ELSE close + 1 END AS c
 
 def resource_sources(t):
     """The most preferred source can't be read, the second breaks on a row while it is read."""
-    torn = c("close") + F.when(c("symbol") == "N11", F.raise_error(F.lit("torn row"))).otherwise(0.0)
+    torn = c("close") + F.when(c("close") > 0, F.raise_error(F.lit("torn row"))).otherwise(0.0)
     return g.load_resources(t.spark, {"stock_price": {
         "missing": lambda: s.read_table(t.spark, s.scratch_dir(t.spark, "nowhere")),
         "torn": lambda: t.bars_w.select("symbol", "date", torn.alias("close")),
@@ -264,8 +264,8 @@ def replay_progress(t):
     r.land_messages(r.replay_envelope(t.bars_w), src)
     total = t.spark.read.text(src).count()
     out, ck = streamed(t, "paced")
-    every = pacing.trigger_seconds(total, 8, 3, total)
-    progress = pacing.replay_paced(r.stream_parse(r.message_stream(t.spark, src, files_per_trigger=3)), out, ck, every, "paced_replay", total)
+    every = pacing.trigger_seconds(total, 8, 1, total)
+    progress = pacing.replay_paced(r.stream_parse(r.message_stream(t.spark, src, files_per_trigger=1)), out, ck, every, "paced_replay", total)
     sums = progress.agg(F.sum("rows").alias("rows"), F.min("rows_left").alias("rows_left"), (F.count(F.lit(1)) > 1).alias("several_triggers"),
                         F.coalesce(F.min("behind_seconds") >= 0, F.lit(False)).alias("delay_known"))
     return sums.withColumn("stored", s.read_table(t.spark, out).agg(F.count(F.lit(1))).scalar())
