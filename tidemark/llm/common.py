@@ -24,6 +24,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
             conf.set(CLEANED, before)
 
 
+def free_of(docs: DataFrame, *names: str) -> DataFrame:
+    """``docs`` with columns that have one of ``names`` (whatever the case) called ``<name>_given`` instead."""
+    taken = {c.lower() for c in (*docs.columns, *names)}
+    for own in [c for c in docs.columns if c.lower() in {n.lower() for n in names}]:
+        new = f"{own}_given"
+        while new.lower() in taken:
+            new += "_given"
+        taken.add(new.lower())
+        docs = docs.withColumnRenamed(own, new)
+    return docs
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

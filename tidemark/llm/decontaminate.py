@@ -15,7 +15,7 @@ documents for each block, so its size is not limited; in practice it is one.
 Defined cases: null or empty texts and items match nothing, items of fewer than
 n words are too short to seed and match nothing; of items with equal words all
 are reported; repeated rows and rows without id are aligned like others. Other
-columns of any name ride along unread.
+columns of any name ride along unread; one called ``leaks`` comes back as ``leaks_given``.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import free_of
 from tidemark.llm.words import PUNCTUATION, Words, buffers, slices
 
 N = 3
@@ -171,9 +172,9 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int)
 def with_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
                  at_least: float = AT_LEAST, common: float = COMMON, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """All columns of ``docs`` plus ``leaks``: array of (item, score, first_word, last_word)."""
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, free_of(docs, "leaks")
     texts = docs.select(F.col(text_col).alias("text"))
-    rows = docs.select(F.col(text_col).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     kind = rows.schema["row"].dataType.simpleString()
     leak = "array<struct<item:bigint,score:double,first_word:bigint,last_word:bigint>>"
     leak_type = pa.list_(pa.struct([("item", pa.int64()), ("score", pa.float64()), ("first_word", pa.int64()), ("last_word", pa.int64())]))
@@ -193,7 +194,8 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                     doc = np.searchsorted(bounds, hit, "right")
                     pairs = np.unique(doc * len(table) + where)
                     df += np.bincount(pairs % len(table), minlength=len(table))
-            yield pa.RecordBatch.from_pydict({"place": np.arange(-1, len(table)), "df": np.concatenate([[seen], df])})
+            hit = np.flatnonzero(df)
+            yield pa.RecordBatch.from_pydict({"place": np.concatenate([[-1], hit]), "df": np.concatenate([[seen], df[hit]])})
 
         # one row per n-gram of the block from each task; the block is bounded
         counts = {r["place"]: r["df"] for r in texts.mapInArrow(counted, "place long, df long").groupBy("place").agg(F.sum("df").alias("df")).collect()}
@@ -204,8 +206,8 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             own = sent.value
             for batch in batches:
-                before = batch.column(2).to_pylist()
-                raw, offs = buffers(batch.column(0))
+                before = batch.column(1).to_pylist()
+                raw, offs = buffers(batch.column(0).field(text_col))
                 for i, j in slices(offs):
                     w = Words(raw, offs, i, j, PUNCTUATION)
                     grams, bounds = w.shingles(N, short=False)
@@ -213,7 +215,7 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                         got = matches(w.hashes[w.bounds[d] : w.bounds[d + 1]], grams[bounds[d] : bounds[d + 1]], own, at_least)
                         if got:
                             before[i + d] = (before[i + d] or []) + [dict(zip(("item", "score", "first_word", "last_word"), g, strict=True)) for g in got]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(before, leak_type)], names=["text", "row", "leaks"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(before, leak_type)], names=["row", "leaks"])
 
-        rows = rows.mapInArrow(run, f"text string, row {kind}, leaks {leak}")
+        rows = rows.mapInArrow(run, f"row {kind}, leaks {leak}")
     return rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns], "leaks")

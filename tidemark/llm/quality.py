@@ -6,8 +6,9 @@ P(grade >= k) = sigmoid(w.x - tk). The sum of these tails is the expected
 grade, a single tail selects documents.
 
 Features are shares within a document: hashed words, hashed triples of character
-classes (letters, digits, marks, symbols, ..) and words equal to the one before.
-A score is thus a mean of looked-up weights over the whole text; no feature
+classes (letters, digits, marks, symbols, ..) and words equal to the one before,
+which count as repeats in place of their own bucket: a text of one word said over and
+over is a matter of repetition, not of that word. A score is thus a mean of looked-up weights over the whole text; no feature
 vector of a document is built when scoring.
 
 The fit takes a bounded sample of graded documents, the ``most`` with the
@@ -15,7 +16,8 @@ smallest id hash; only their sparse features reach the driver. Defined cases:
 a null or empty text has no features, its score is 0; grades that are null and
 documents without grade are not trained on; of several grades of one id the
 lowest counts; without any grade all weights are 0. Repeated rows are scored
-each; only the named columns are read.
+each; only the named columns are read. A column of the given table that is called
+``quality`` comes back as ``quality_given``.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import free_of
 from tidemark.llm.words import SPACE, Words, buffers, slices
 
 WORD_BITS = 15
@@ -68,11 +71,12 @@ def features(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for i, j in slices(offs):
         buckets, again, wb, triples, tb = _codes(raw, offs, i, j)
         for d in range(j - i):
-            words, n = buckets[wb[d] : wb[d + 1]], wb[d + 1] - wb[d]
+            same, n = again[wb[d] : wb[d + 1]], wb[d + 1] - wb[d]
+            words = buckets[wb[d] : wb[d + 1]][~same]
             kinds, m = triples[tb[d] : tb[d + 1]], tb[d + 1] - tb[d]
             a, ca = np.unique(words, return_counts=True)
             b, cb = np.unique(kinds, return_counts=True)
-            repeat = again[wb[d] : wb[d + 1]].sum() / max(n, 1)
+            repeat = same.sum() / max(n, 1)
             yield (np.concatenate([a, b + N_WORD, [SIZE - 1]]).astype(np.int32),
                    np.concatenate([ca / max(n, 1), cb / max(m, 1), [repeat]]).astype(np.float32))
 
@@ -83,7 +87,7 @@ def scores(texts: pa.Array, weights: np.ndarray) -> np.ndarray:
     out = np.zeros(len(offs) - 1)
     for i, j in slices(offs):
         buckets, again, wb, triples, tb = _codes(raw, offs, i, j)
-        for values, bounds in ((weights[buckets] + weights[SIZE - 1] * again, wb), (weights[N_WORD + triples], tb)):
+        for values, bounds in ((np.where(again, weights[SIZE - 1], weights[buckets]), wb), (weights[N_WORD + triples], tb)):
             total = np.zeros(len(values) + 1)
             np.cumsum(values, out=total[1:])
             out[i:j] += (total[bounds[1:]] - total[bounds[:-1]]) / np.maximum(np.diff(bounds), 1)
@@ -105,7 +109,7 @@ class OrdinalModel:
 
 
 def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, grade_count: int, steps: int = 250,
-                rate: float = 0.08, ridge: float = 2e-4) -> OrdinalModel:
+                rate: float = 0.08, ridge: float = 4e-3) -> OrdinalModel:
     """Maximum likelihood by full-batch Adam; thresholds stay ordered as sums of positive gaps."""
     m = grade_count - 1
     weights = np.zeros(SIZE)
@@ -116,7 +120,7 @@ def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, g
     row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
     n = len(rows)
     # features are scaled by their root mean square; rare ones are held back
-    scale = 1 / np.sqrt(np.bincount(place, value**2, SIZE) / n + 1e-5)
+    scale = 1 / np.sqrt(np.bincount(place, value**2, SIZE) / n + 1e-4)
     value *= scale[place]
     share = (np.array([(grades >= k).sum() for k in range(1, grade_count)]) + 0.5) / (n + 1)
     cuts = -np.log(share / (1 - share))
@@ -176,17 +180,18 @@ def graded(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_co
 
     The text goes through Python once; other columns ride along unread.
     """
+    docs = free_of(docs, "quality")
     kept = spark_broadcast(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = kept.value
         for batch in batches:
-            tails = own.tails(scores(batch.column(0), own.weights))
+            tails = own.tails(scores(batch.column(0).field(text_col), own.weights))
             p = tails[:, tail - 1]
             result = pa.StructArray.from_arrays([pa.array(tails.sum(1)), pa.array(p), pa.array(p >= keep_at)], ["expected_grade", "p_tail", "keep"])
-            yield pa.RecordBatch.from_arrays([batch.column(1), result], names=["row", "quality"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), result], names=["row", "quality"])
 
-    rows = docs.select(F.col(text_col).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     kind = rows.schema["row"].dataType.simpleString()
     out = rows.mapInArrow(run, f"row {kind}, quality struct<expected_grade:double,p_tail:double,keep:boolean>")
     return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns], "quality")
