@@ -113,6 +113,11 @@ class Pieces:
             offer(a)
         return [s for s in syms if s is not None]
 
+    def forget(self) -> None:
+        """What was remembered goes at the end of a task, as its worker may serve other stages next."""
+        self.pairs, self.parts, self.older = {}, {}, {}
+        pa.default_memory_pool().release_unused()
+
     def compatible(self, a: str, b: str) -> bool:
         known = self.pairs.get((a, b))
         if known is None:
@@ -226,10 +231,13 @@ def pieces(path: str) -> Pieces:
 def _per_text(docs: DataFrame, path: str, id_col: str, text_col: str, tail: str, names: list[str], make) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                part = whole.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([part.column(0), *make(model, part.column(1).to_pylist())], names=["id", *names])
+        try:
+            for whole in batches:
+                for at in range(0, whole.num_rows, 512):
+                    part = whole.slice(at, 512)
+                    yield pa.RecordBatch.from_arrays([part.column(0), *make(model, part.column(1).to_pylist())], names=["id", *names])
+        finally:
+            model.forget()
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()

@@ -28,12 +28,17 @@ _tables: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash base and of its inverse modulo 2^64, at least n of them."""
-    if len(_tables[0]) < n:
-        for i, base in enumerate((BASE, INVERSE)):
-            steps = np.full(max(n, SLICE_BYTES), base, np.uint64)
-            steps[0] = 1
-            _tables[i] = np.cumprod(steps, dtype=np.uint64)
-    return _tables[0], _tables[1]
+    if len(_tables[0]) >= n:
+        return _tables[0], _tables[1]
+    made = []
+    for base in (BASE, INVERSE):
+        steps = np.full(max(n, SLICE_BYTES + 1), base, np.uint64)
+        steps[0] = 1
+        made.append(np.cumprod(steps, dtype=np.uint64))
+    # those of a document longer than a slice are not kept
+    if n <= SLICE_BYTES + 1:
+        _tables[:] = made
+    return made[0], made[1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
