@@ -10,6 +10,7 @@ import pytest
 
 pytest.importorskip("tidemark.llm")
 import public_tokenizers  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
 
 from tidemark.llm import decontaminate, fingerprint, htmltext, jaccard, lines, pieces, pii, quality, suffixes, toxicity  # noqa: E402
 
@@ -144,6 +145,15 @@ def test_merged_sketch_is_the_sketch_of_the_union(spark, docs, texts):
     assert np.array_equal(got, every[:128])
 
 
+def test_pii_learns_from_every_document(spark):
+    """Candidates that stand only in documents far down any order of hashes still teach the trees."""
+    ids = [r[0] for r in spark.range(4300).selectExpr("id").orderBy(F.xxhash64("id"), "id").collect()]
+    told = {doc: f"write to a{doc} (at) b{doc} (dot) org" if k % 2 else f"number 1234 5678 9012 {1000 + doc} is none" for k, doc in enumerate(ids[-300:])}
+    got = pii.digests(pii.detected(frame(spark, [(doc, told.get(doc, "nothing here")) for doc in ids]))).filter("n_added > 0").collect()
+    assert {r["doc_id"] for r in got} == {doc for doc, text in told.items() if "(at)" in text}
+    assert all(r["spans"] == f"email:9:{len(told[r['doc_id']])}" for r in got)
+
+
 def test_pii_base_spans(spark):
     checks = [
         (1, "mail a.b@c-d.org_x@y.z, 1.2.3.4.5.6.7.8 999.1.1.1 card 4111 1111 1111 1111 and 4111-1111-1111-1112"),

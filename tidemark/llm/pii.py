@@ -3,23 +3,25 @@
 Base spans come from four patterns and their checks. High-recall generators
 propose further, overlapping spans of the same kinds (separators of other sorts,
 missing prefixes, words such as "at"). Boosted trees rate a candidate by its
-format and context; they are trained on candidates of a bounded sample of
+format and context; they are trained on two thirds of the candidates of all
 documents, labelled by whether they are a base span or pass their kind's check
 once written in the usual form (a phone number also needs a word before it that
-speaks of one), and a threshold per kind is calibrated on held-back candidates for a precision of at
+speaks of one), and a threshold per kind is calibrated on the other third for a precision of at
 least 0.99. Candidates above it that touch no base span are added; base spans
 always stay.
 
 Starts and ends count code points. Matching uses a pattern twice (matches, and
 the text between them), whose lengths add up to the places.
 
-Defined cases: a null or empty text has no spans; a sample without candidates of
-both labels adds none; of overlapping additions the first stays. Rows without id
+Defined cases: a null or empty text has no spans; documents without candidates of
+both labels add none; of overlapping additions the first stays. Rows without id
 and repeated rows are searched like any other. Only the named columns are read.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -46,10 +48,12 @@ CANDIDATES = {
     "card": r"(?<![0-9])[0-9](?:[\x20._/-]{0,2}[0-9]){12,18}(?![0-9])",
     "phone": r"(?<![0-9])(?:\+|00)\x20?[0-9](?:[\x20()./-]{0,2}[0-9]){7,14}(?![0-9])",
 }
-#: documents the trees are trained on at most, and characters of context read on either side
-MOST, CONTEXT = 4000, 24
+#: characters of context read on either side
+CONTEXT = 24
 HINT = {"email": "mail|contact|write", "ip": "ip|host|server|addr", "card": "card|visa|pay|credit", "phone": "phone|call|tel|fax|mobil"}
 PRECISION = 0.99
+#: bins of a feature; Spark ML looks for split points among max(bins^2, ENOUGH) rows of those it is given
+BINS, ENOUGH = 16, 10_000
 FEATURES = ["kind", "size", "digits", "letters", "blanks", "dashes", "dots", "others", "groups", "longest", "first_digit", "hint", "before_space", "after_space", "before_digitlike", "distinct", "passes"]
 
 
@@ -141,19 +145,19 @@ def candidates(rows: DataFrame) -> DataFrame:
     return found.select("doc", "tag", "kind_name", "start", "end", *[v.alias(k) for k, v in values.items()], (same | (values["passes"] == 1.0) & ((values["kind"] < 4.0) | hint)).cast("double").alias("is_personal"), (~touched).alias("clear"))
 
 
-def trained(rows: DataFrame, most: int = MOST):
-    """Boosted trees and the threshold of each kind, or None if the sample can't teach any."""
-    ids = rows.filter("doc IS NOT NULL").select("doc").distinct().orderBy(F.xxhash64("doc"), "doc").limit(most)
-    # at most `most` ids, which bounds this broadcast
-    # the search runs in as many tasks as the scan has; only what is written is small enough for two
-    sample = stage(candidates(rows.join(F.broadcast(ids), "doc")), "pii_sample").coalesce(2)
+def trained(found: DataFrame):
+    """Boosted trees and the threshold of each kind from all candidates, or None if they can't teach any."""
     part = F.pmod(F.xxhash64("doc", "tag", "start"), F.lit(3))
-    assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    fit = assembler.transform(sample.filter(part > 0))
-    if fit.select("is_personal").distinct().count() < 2:
+    # equal candidates are one row of their number as weight, which gives the same sums
+    alike = found.filter(part > 0).groupBy(*FEATURES, "is_personal").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    fit = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(stage(alike, "pii_alike"))
+    kinds, n = fit.agg(F.count_distinct("is_personal"), F.count(F.lit(1))).first()
+    if kinds < 2:
         return None
-    model = GBTClassifier(labelCol="is_personal", maxIter=8, maxDepth=3, maxBins=16, seed=7).fit(fit)
-    rated = _rated(model, sample.filter(part == 0)).groupBy("kind_name", F.floor(F.col("p") * 100).alias("step")).agg(F.count(F.lit(1)).alias("n"), F.sum("is_personal").alias("hits")).collect()
+    # so many bins that split points come from every row, not from a sample that Spark ML would draw
+    bins = BINS if n <= ENOUGH else max(BINS, math.isqrt(n) + 1)
+    model = GBTClassifier(labelCol="is_personal", weightCol="weight", maxIter=8, maxDepth=3, maxBins=bins, seed=7).fit(fit)
+    rated = _rated(model, found.filter(part == 0)).groupBy("kind_name", F.floor(F.col("p") * 100).alias("step")).agg(F.count(F.lit(1)).alias("n"), F.sum("is_personal").alias("hits")).collect()
     limits = {}
     for kind in KINDS:
         n = hits = 0
@@ -170,18 +174,20 @@ def _rated(model, found: DataFrame) -> DataFrame:
     return rated.withColumn("p", vector_to_array("probability")[1])
 
 
-def detected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> DataFrame:
+def detected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, and arrays of (start, end) by kind: ``base`` and ``added``."""
     rows = _keyed(docs, id_col, text_col)
     ends = lambda a: F.transform(a, lambda s: F.struct(s.getField("start").alias("start"), s.getField("end").alias("end")))
     base = rows.select("doc", "tag", F.struct(*[ends(c).alias(k) for k, c in base_spans(F.col("text")).items()]).alias("base"))
-    taught = trained(rows, most)
+    # candidates of all documents are searched once, for the trees and for what they rate
+    found = stage(candidates(rows), "pii_candidates")
+    taught = trained(found)
     none = "array<struct<kind:int,start:int,end:int>>"
     if taught is None or not taught[1]:
         return base.select(F.col("doc").alias(id_col), "base", F.expr(f"CAST(array() AS {none})").alias("added"))
     model, limits = taught
     limit = F.coalesce(*[F.when(F.col("kind_name") == k, F.lit(v)) for k, v in limits.items()], F.lit(2.0))
-    extra = _rated(model, candidates(rows).filter("clear")).filter(F.col("p") >= limit)
+    extra = _rated(model, found.filter("clear")).filter(F.col("p") >= limit)
     # of overlapping additions the first stays; spans of one document are bounded by its length
     extra = extra.select("doc", "tag", F.struct(F.col("start"), F.col("kind").cast("int").alias("kind"), F.col("end")).alias("s")).groupBy("doc", "tag").agg(F.array_sort(F.collect_set("s")).alias("all"))
     zero = F.struct(F.lit(0).alias("at"), F.expr(f"CAST(array() AS {none})").alias("out"))
