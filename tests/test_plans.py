@@ -141,6 +141,21 @@ def test_exact_quantiles(spark):
         assert np.allclose(got[g][1], np.quantile(x, probs))
 
 
+def test_slices_keep_a_large_group_in_many_tasks(spark):
+    counts = spark.range(20_000).repartition(8).selectExpr("if(id < 9, 'cold', 'hot') AS g", "double(id) AS v", "1L AS m")
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")
+    try:
+        got = quantile.sliced(counts, ["g"], "v")
+        tasks = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+        slices = {(r["g"], r["_slice"]): r["count"] for r in got.groupBy("g", "_slice").count().collect()}
+    finally:
+        spark.conf.set(limit, before)
+    assert sum(tasks) == sum(slices.values()) == 20_000
+    assert max(tasks) < 5_000 and max(slices.values()) < 3 * 20_000 / quantile.SLICES
+
+
 def test_cumulative_counts(spark):
     rng = np.random.default_rng(5)
     pdf = pd.DataFrame({"g": rng.choice(["a", "b"], 4000, p=[0.9, 0.1]), "x": rng.integers(0, 700, 4000).astype(float), "m": 1})
