@@ -138,6 +138,16 @@ def test_fingerprints(docs, texts):
         assert abs(rows[doc]["near_edited"] - true) < (1e-9 if len(a) < 128 and len(b) < 128 else 0.2)
 
 
+def test_jaccard_in_passes(docs, monkeypatch):
+    """Sets that travel in four passes, not all at once, give the same components."""
+    want = sorted(jaccard.jaccard_groups(docs).collect(), key=str)
+    monkeypatch.setattr(jaccard, "ENOUGH", 3)
+    written, stage = [], jaccard.stage
+    monkeypatch.setattr(jaccard, "stage", lambda df, name: written.append(name) or stage(df, name))
+    assert sorted(jaccard.jaccard_groups(docs).collect(), key=str) == want
+    assert written.count("measured") >= jaccard.PASSES
+
+
 def test_merged_sketch_is_the_sketch_of_the_union(spark, docs, texts):
     parts = fingerprint.sketches(docs).selectExpr("1 AS one", "fingerprint")
     got = fingerprint.from_text(fingerprint.merged(parts, ["one"]).first()["fingerprint"])

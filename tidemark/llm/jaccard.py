@@ -33,7 +33,7 @@ columns are read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -55,6 +55,9 @@ FILTER_BITS = 1 << 25
 SEEN = 1_000_000
 #: members of a block and columns of a product when a clump is compared
 BLOCK, CHUNK = 256, 4096
+#: passes in which sets travel to be compared, so that not all copies of sets are on the disk at once, and the
+#: rows from which there is another one
+PASSES, ENOUGH = 4, 20_000
 
 
 def rings(top: int) -> np.ndarray:
@@ -168,6 +171,17 @@ def _sets_of(docs: DataFrame, text_col: str, words: int, members: DataFrame) ->
     return rows.join(members, "set_hash", "left_semi").groupBy("set_hash").agg(F.any_value("hashes").alias("hashes"))
 
 
+def _in_passes(rows: DataFrame, key: list[str], name: str, made: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``made`` of rows that are told apart by ``key``, in up to PASSES written parts; what a part shuffles goes at its end."""
+    rows = stage(rows, f"{name}_rows")
+    passes = min(PASSES, 1 + rows.count() // ENOUGH)
+    place = F.pmod(F.xxhash64(F.lit(passes), *key), F.lit(passes))
+    out = stage(made(rows.filter(place == 0)), name)
+    for n in range(1, passes):
+        out = out.unionByName(stage(made(rows.filter(place == n)), name))
+    return out
+
+
 def _measured(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """Pairs (a, b) with the sizes of intersection and union."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +196,10 @@ def _measured(pairs: DataFrame, found: DataFrame) -> DataFrame:
 
     one = found.select(F.col("set_hash").alias("a"), F.col("hashes").alias("x"))
     two = found.select(F.col("set_hash").alias("b"), F.col("hashes").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, shared long, union long")
+    def made(pairs: DataFrame) -> DataFrame:
+        return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, shared long, union long")
+
+    return _in_passes(pairs, ["a", "b"], "measured", made)
 
 
 def _unsettled(regions: DataFrame) -> DataFrame:
@@ -254,8 +271,8 @@ def _together(regions: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that join components inside regions of up to LEAF sets; equal regions are compared once."""
     lists = regions.groupBy("region").agg(F.sort_array(F.collect_list(F.struct("member", "label"))).alias("sets")).select("sets").distinct()
     rows = lists.select(F.xxhash64("sets").alias("region"), F.explode("sets").alias("set")).select("region", "set.*")
-    rows = rows.join(found.select(F.col("set_hash").alias("member"), "hashes"), "member")
-    return rows.groupBy("region").applyInPandas(_joining(percent), "a long, b long")
+    own = found.select(F.col("set_hash").alias("member"), "hashes")
+    return _in_passes(rows, ["region"], "together", lambda part: part.join(own, "member").groupBy("region").applyInPandas(_joining(percent), "a long, b long"))
 
 
 def _compared(clumps: DataFrame, found: DataFrame, percent: int) -> DataFrame:
@@ -270,9 +287,9 @@ def _compared(clumps: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     rows = rows.join(last, "clump").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
     rows = rows.select("clump", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "member", "label")
     kept = rows.groupBy("clump", "i", "j").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("clump", "i", "j")
-    rows = rows.join(kept, ["clump", "i", "j"]).join(found.select(F.col("set_hash").alias("member"), "hashes"), "member")
-
-    return rows.groupBy("clump", "i", "j").applyInPandas(_joining(percent), "a long, b long")
+    rows = rows.join(kept, ["clump", "i", "j"])
+    own, block = found.select(F.col("set_hash").alias("member"), "hashes"), ["clump", "i", "j"]
+    return _in_passes(rows, block, "compared", lambda part: part.join(own, "member").groupBy(*block).applyInPandas(_joining(percent), "a long, b long"))
 
 
 def linked_classes(docs: DataFrame, text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame | None:
@@ -304,10 +321,10 @@ def linked_classes(docs: DataFrame, text_col: str = "text", words: int = WORDS,
         order = Window.partitionBy("region").orderBy(F.xxhash64("member", F.lit(step)), "member")
         pivots = big.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= PIVOTS).select("region", "place", F.col("member").alias("pivot"))
         near = big.join(pivots, "region").filter("member <> pivot").select(F.least("member", "pivot").alias("a"), F.greatest("member", "pivot").alias("b"))
-        measured = stage(_measured(pairs.unionByName(near).distinct(), found), "measured")
+        measured = _measured(pairs.unionByName(near).distinct(), found)
         links = measured.filter(100 * F.col("shared") >= percent * F.col("union")).select("a", "b")
         if leaf > PAIRED:
-            links = stage(links.unionByName(_together(middle, found, percent)), "links")
+            links = links.unionByName(_together(middle, found, percent))
         edges = links if edges is None else edges.unionByName(links)
         labels = components(edges)
         if not large:
@@ -322,7 +339,7 @@ def linked_classes(docs: DataFrame, text_col: str = "text", words: int = WORDS,
     clump = components(now.select(F.col("region").alias("a"), F.col("member").alias("b")))
     members = now.select("member", "label").distinct().join(clump.select(F.col("node").alias("member"), F.col("label").alias("clump")), "member")
     assert edges is not None
-    return components(edges.unionByName(stage(_compared(members, found, percent), "compared")))
+    return components(edges.unionByName(_compared(members, found, percent)))
 
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
