@@ -148,6 +148,46 @@ def test_jaccard_in_passes(docs, monkeypatch):
     assert written.count("measured") >= jaccard.PASSES
 
 
+def test_jaccard_sends_few_sets(spark, monkeypatch):
+    """Sets that share a passage but are no near copies go no further than their parts; regions of one set are united."""
+    rng = np.random.default_rng(9)
+    made = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    passage = made(60)
+    rows = [(k, " ".join(made(120 + k) + passage + made(120))) for k in range(40)]
+    words = rows[7][1].split(" ")
+    rows += [(40 + k, " ".join([*words[:k], "edit", *words[k + 1 :]])) for k in range(20)]
+    written, stage = {}, jaccard.stage
+
+    def counted(df, name):
+        out = stage(df, name)
+        written[name] = written.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "stage", counted)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_groups(frame(spark, rows)).collect()}
+    assert got == {k: 7 if k >= 40 else k for k in range(60)}
+    assert written["sets"] <= 30 and written["shared_parts"] > written["regions"]
+
+
+def test_jaccard_regions_of_one_set_are_united(spark):
+    regions = [(r, m, m) for r, members in enumerate([[1, 2, 3], [1, 2, 4], [1, 3, 4], [5, 6, 7]]) for m in members]
+    regions = spark.createDataFrame(regions, "region long, member long, label long")
+    sets = {m: np.arange(100 * (m > 4), 100 * (m > 4) + 50 + m % 3, dtype=np.uint64) for m in range(1, 8)}
+    found = spark.createDataFrame([(m, h.tobytes()) for m, h in sets.items()], "set_hash long, hashes binary")
+    written, links = [], []
+
+    def counted(df, name, stage=jaccard.stage):
+        out = stage(df, name)
+        written.append((name, out.count()))
+        return out
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(jaccard, "stage", counted)
+        links = {tuple(sorted(r)) for r in jaccard._together(regions, found, 85).collect()}
+    # 12 rows before; a spanning forest of {1, 2, 3, 4} and {5, 6, 7} has five links
+    assert dict(written)["together_rows"] == 7 and len(links) == 5 and all((a > 4) == (b > 4) for a, b in links)
+
+
 def test_merged_sketch_is_the_sketch_of_the_union(spark, docs, texts):
     parts = fingerprint.sketches(docs).selectExpr("1 AS one", "fingerprint")
     got = fingerprint.from_text(fingerprint.merged(parts, ["one"]).first()["fingerprint"])

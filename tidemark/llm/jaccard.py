@@ -9,15 +9,16 @@ metric; two classes link when it is at most r = 1 - threshold.
    to U linked sets differ in at most D = floor((1-t)/(1+t) * 2U) shingles, so of
    D + 1 + s parts of the hash range at least s + 1 hold the same shingles. Each
    part's content names a region. Sizes are cut into rings around the empty set;
-   a set within the size window of the next ring is replicated there.
+   a set within the size window of the next ring is replicated there. A set that shares
+   fewer parts than that with all others together has no links and goes no further.
 2. Voronoi regions. In a region of more than a few sets, pivots are drawn and
    all distances to them computed (which settles the pivots' own links); a set
    belongs to its nearest pivot, and by the triangle inequality a set whose
    distance to another pivot is at most 2r more is replicated there.
 3. Recursion. A region whose sets are all connected already is settled, a small
-   one is compared pair by pair, one of up to LEAF sets in one product of them (once
-   the first pivots have settled what they can, so few sets travel), a larger one
-   gets new pivots inside its cells.
+   one is compared pair by pair, those of up to LEAF sets with one smallest set in
+   products of them all (once the first pivots have settled what they can, so few sets
+   travel), a larger one gets new pivots inside its cells.
    Once pivots no longer halve what is left (many sets, all a little too far
    from each other), the cells that share sets become one clump, and all pairs
    of a clump are compared block by block; nothing is left out.
@@ -41,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import partitions, stage
+from tidemark.llm.common import among, partitions, stage
 from tidemark.llm.components import components
 from tidemark.llm.words import Words, buffers, mix, sets, slices
 
@@ -69,11 +70,14 @@ def rings(top: int) -> np.ndarray:
     return np.array(ends)
 
 
-def parts(hashes: np.ndarray, ends: np.ndarray, percent: int, seed: int = 0) -> np.ndarray:
-    """Names of the parts of one sorted set, in its ring and where its size reaches into the next."""
+def parts(hashes: np.ndarray, ends: np.ndarray, percent: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Names of the parts of one sorted set, in its ring and where its size reaches into the next.
+
+    With each the number of named parts in that ring that any linked set has in common with it at least.
+    """
     n = len(hashes)
     own = int(np.searchsorted(ends, n, "right")) - 1
-    out = []
+    out, need = [], []
     if seed:
         hashes = np.sort(mix(hashes ^ np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1)))
     total = np.zeros(n + 1, np.uint64)
@@ -88,8 +92,11 @@ def parts(hashes: np.ndarray, ends: np.ndarray, percent: int, seed: int = 0) ->
         name = mix(total[bounds[1:]] - total[bounds[:-1]] + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
                    + np.arange(m).astype(np.uint64) * np.uint64(0xA24BAED4963EE407) + np.uint64(ring * 0x9FB21C651E98DF25 & (1 << 64) - 1))
         # agreeing on empty parts alone takes more than `slack` of them
-        out.append(name if (size == 0).sum() > slack else name[size > 0])
-    return np.concatenate(out)
+        empty = int((size == 0).sum())
+        out.append(name if empty > slack else name[size > 0])
+        # of the parts that agree, those empty in both sets have no name unless both have more than `slack` empty ones
+        need.append(np.full(len(out[-1]), slack + 1 - min(empty, slack), np.int32))
+    return np.concatenate(out), np.concatenate(need)
 
 
 def _set_hash(h: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -126,18 +133,26 @@ def _part_rows(docs: DataFrame, text_col: str, words: int, percent: int) -> Data
             for h, b, keys in _each(batch.column(0), words):
                 if (top := int(np.diff(b).max(initial=0))) >= ends[-2]:
                     ends = rings(top)
-                names, owners = [], []
+                names, owners, needs = [], [], []
                 for d, key in enumerate(keys.tolist()):
                     if b[d] < b[d + 1] and key not in seen:
                         seen.add(key)
-                        names.append(parts(h[b[d] : b[d + 1]], ends, percent))
-                        owners.append(np.full(len(names[-1]), key))
+                        name, need = parts(h[b[d] : b[d + 1]], ends, percent)
+                        names.append(name)
+                        needs.append(need)
+                        owners.append(np.full(len(name), key))
                 if names:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names).view(np.int64)), pa.array(np.concatenate(owners))], names=["region", "member"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names).view(np.int64)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(needs))], names=["region", "member", "need"])
             if len(seen) > SEEN:
                 seen.clear()
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "region long, member long")
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "region long, member long, need int")
+
+
+def _enough(shared: DataFrame) -> DataFrame:
+    """Rows (region, member) of the sets that share as many parts in a ring as a linked set would have in common."""
+    kept = shared.groupBy("member", "need").agg(F.count(F.lit(1)).alias("n")).filter("n >= need").select("member", "need")
+    return shared.join(kept, ["member", "need"]).select("region", "member")
 
 
 def _sets_of(docs: DataFrame, text_col: str, words: int, members: DataFrame) -> DataFrame:
@@ -194,9 +209,11 @@ def _measured(pairs: DataFrame, found: DataFrame) -> DataFrame:
                 union.append(len(x) + len(y) - shared[-1])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared, pa.int64()), pa.array(union, pa.int64())], names=["a", "b", "shared", "union"])
 
-    one = found.select(F.col("set_hash").alias("a"), F.col("hashes").alias("x"))
-    two = found.select(F.col("set_hash").alias("b"), F.col("hashes").alias("y"))
     def made(pairs: DataFrame) -> DataFrame:
+        # only the sets of this part's pairs are dealt
+        own = among(found, "set_hash", pairs.select(F.explode(F.array("a", "b")).alias("set_hash")))
+        one = own.select(F.col("set_hash").alias("a"), F.col("hashes").alias("x"))
+        two = own.select(F.col("set_hash").alias("b"), F.col("hashes").alias("y"))
         return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, shared long, union long")
 
     return _in_passes(pairs, ["a", "b"], "measured", made)
@@ -268,14 +285,17 @@ def _joining(percent: int):
 
 
 def _together(regions: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that join components inside regions of up to LEAF sets; equal regions are compared once."""
-    lists = regions.groupBy("region").agg(F.sort_array(F.collect_list(F.struct("member", "label"))).alias("sets")).select("sets").distinct()
-    rows = lists.select(F.xxhash64("sets").alias("region"), F.explode("sets").alias("set")).select("region", "set.*")
-    own = found.select(F.col("set_hash").alias("member"), "hashes")
-    return _in_passes(rows, ["region"], "together", lambda part: part.join(own, "member").groupBy("region").applyInPandas(_joining(percent), "a long, b long"))
+    """Links (a, b) that join components inside regions of up to LEAF sets.
+
+    A set is in many regions of much the same sets, so those of one smallest set are united and
+    compared as one clump: a set then travels once for them all. A clump holds no more sets than the
+    regions of one set.
+    """
+    lowest = F.min("member").over(Window.partitionBy("region"))
+    return _compared(regions.select(lowest.alias("clump"), "member", "label").distinct(), found, percent, "together")
 
 
-def _compared(clumps: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+def _compared(clumps: DataFrame, found: DataFrame, percent: int, name: str = "compared") -> DataFrame:
     """Links (a, b) that join components, from all pairs of each clump of (clump, member, label).
 
     Members are dealt to blocks; each pair of blocks of a clump is a group of at
@@ -288,8 +308,13 @@ def _compared(clumps: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     rows = rows.select("clump", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "member", "label")
     kept = rows.groupBy("clump", "i", "j").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("clump", "i", "j")
     rows = rows.join(kept, ["clump", "i", "j"])
-    own, block = found.select(F.col("set_hash").alias("member"), "hashes"), ["clump", "i", "j"]
-    return _in_passes(rows, block, "compared", lambda part: part.join(own, "member").groupBy(*block).applyInPandas(_joining(percent), "a long, b long"))
+    block = ["clump", "i", "j"]
+
+    def made(part: DataFrame) -> DataFrame:
+        own = among(found, "set_hash", part.select("member")).select(F.col("set_hash").alias("member"), "hashes")
+        return part.join(own, "member").groupBy(*block).applyInPandas(_joining(percent), "a long, b long")
+
+    return _in_passes(rows, block, name, made)
 
 
 def linked_classes(docs: DataFrame, text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame | None:
@@ -298,7 +323,7 @@ def linked_classes(docs: DataFrame, text_col: str = "text", words: int = WORDS,
     every = Window.partitionBy("region")
     first = _part_rows(docs, text_col, words, percent).repartition(partitions(spark), "region")
     first = first.withColumns({"low": F.min("member").over(every), "high": F.max("member").over(every)}).filter("low < high")
-    regions = stage(first.select("region", "member").distinct(), "regions")
+    regions = stage(_enough(stage(first.select("region", "member", "need").distinct(), "shared_parts")), "regions")
     members = regions.select(F.col("member").alias("set_hash")).distinct()
     found = stage(_sets_of(docs, text_col, words, members), "sets")
     edges: DataFrame | None = None
