@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import among, partitions, stage
+from tidemark.llm.common import BATCH, among, partitions, setting, stage
 from tidemark.llm.components import components
 from tidemark.llm.words import Words, buffers, mix, sets, slices
 
@@ -54,6 +54,8 @@ RING = 1.4
 FILTER_BITS = 1 << 25
 #: sets a task remembers to emit the parts of equal sets once
 SEEN = 1_000_000
+#: texts that travel to a Python worker at once
+TEXTS = 1000
 #: members of a block and columns of a product when a clump is compared
 BLOCK, CHUNK = 256, 4096
 #: passes in which sets travel to be compared, so that not all copies of sets are on the disk at once, and the
@@ -369,8 +371,10 @@ def linked_classes(docs: DataFrame, text_col: str = "text", words: int = WORDS,
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """id, n_shingles, set_hash and component_id (smallest id reachable by links) of every document."""
-    own = stage(set_table(docs, id_col, text_col, words), "sets_of_documents")
-    labels = linked_classes(docs, text_col, words, percent)
+    # a worker holds a batch of texts several times over; the stages of a pipeline leave it little memory
+    with setting(docs.sparkSession, BATCH, str(TEXTS)):
+        own = stage(set_table(docs, id_col, text_col, words), "sets_of_documents")
+        labels = linked_classes(docs, text_col, words, percent)
     least = own.filter("set_hash IS NOT NULL").groupBy("set_hash").agg(F.min("id").alias("least"))
     if labels is not None:
         named = labels.select(F.col("node").alias("set_hash"), "label")
